@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeline.operators import sessions
+from lodeline.operators import sessions, timestamps
 
-_PARTS = [sessions]
+_PARTS = [sessions, timestamps]
 FLAGSHIP = "p1_found"
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
