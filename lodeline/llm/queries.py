@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeline.llm import splitting
+from lodeline.llm import conversations, splitting
 
-_PARTS = [splitting]
+_PARTS = [splitting, conversations]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
