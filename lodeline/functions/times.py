@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Minutes east of UTC of the zone abbreviations that are read.
@@ -39,19 +39,23 @@ def wall_ms(date_and_time: Column, fraction: Column) -> Column:
 
 def offset_ms(zone: Column) -> Column:
     """Offset of ``+hh:mm``, ``+hhmm`` or an abbreviation; null for anything else or beyond 18 hours."""
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    usable = (minutes <= 18 * 60) & (F.substring(digits, 3, 2).try_cast("int") < 60)
-    signed = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes)
-    out = F.when(zone.rlike(r"^[+-]\d{2}:?\d{2}\z") & usable, signed)
-    for name, value in ABBREVIATIONS.items():
-        out = F.when(F.upper(zone) == name, F.lit(value)).otherwise(out)
-    return out.cast("bigint") * 60000
-
-
-def instant_ms(text: Column) -> Column:
-    """UTC milliseconds of an ISO time with date, time to the second and zone; null for all else."""
-    t = stripped(text)
-    part = lambda i: F.regexp_extract(t, INSTANT, i)
-    wall = wall_ms(F.concat(part(1), F.lit("T"), part(2)), part(3))
-    return F.when(t.rlike(INSTANT), wall - offset_ms(part(4)))
+    named = F.create_map(*[F.lit(x) for name, value in ABBREVIATIONS.items() for x in (name, value)])
+    digits = F.concat(F.substring(zone, 1, 1), F.lpad(F.regexp_replace(zone, r"\D", ""), 4, "x")).try_cast("int")
+    told = F.when(zone.rlike(r"^[+-](?:0\d|1[0-7]):?[0-5]\d\z|^[+-]18:?00\z"), F.floor(digits / 100) * 60 + F.pmod(digits, F.lit(100)))
+    early = F.when(zone.rlike(r"^-(?:0\d|1[0-7]):?[0-5]\d\z|^-18:?00\z"), -(F.floor(-digits / 100) * 60 + F.pmod(-digits, F.lit(100))))
+    return F.coalesce(early, told, named[F.upper(zone)]).cast("bigint") * 60_000
+
+
+def with_instant(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds ``name``: UTC milliseconds of an ISO time with date, time to the second and zone; null for all else.
+
+    The steps are columns of their own, so that the pattern is matched once a row.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    t = F.col("__t")
+    put = F.when(t.rlike(INSTANT), F.split(F.regexp_replace(t, INSTANT, "$1T$2|$3|$4"), r"\|", -1))
+    parts = df.select(*kept, stripped(text).alias("__t")).select(*kept, put.alias("__p"))
+    read = parts.select(*kept, F.col("__p")[0].alias("__wall"), F.col("__p")[1].alias("__fraction"), F.col("__p")[2].alias("__zone"))
+    stages = read.select(*kept, wall_ms(F.col("__wall"), F.col("__fraction")).alias("__ms"), offset_ms(F.col("__zone")).alias("__offset"))
+    # An array and its explosion keep Spark from repeating the whole expression in every filter on the result.
+    return stages.select(*kept, F.explode(F.array(F.col("__ms") - F.col("__offset"))).alias(name))

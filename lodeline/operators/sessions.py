@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.times import instant_ms
+from lodeline.functions.times import with_instant
 from lodeline.tables import table
 
 GAP_MS = 1_800_000
@@ -67,9 +67,8 @@ def sessions(events: DataFrame, key: str, at_ms: str, gap_ms: int = GAP_MS, chun
 def directory_events(spark, folder: str) -> DataFrame:
     """(dir_key, at_ms) of the hook log and the conversation turns that have a directory and an instant."""
     both = table(spark, folder, "hook_log").select("cwd", "ts").unionByName(table(spark, folder, "conversation_turns").select("cwd", "ts"))
-    return both.select(directory_key(F.col("cwd")).alias("dir_key"), instant_ms(F.col("ts")).alias("at_ms")).where(
-        "dir_key is not null and at_ms is not null and at_ms <> 0"
-    )
+    dated = with_instant(both.where("cwd is not null"), F.col("ts"), "at_ms").where("at_ms is not null and at_ms <> 0")
+    return dated.select(directory_key(F.col("cwd")).alias("dir_key"), "at_ms")
 
 
 def p1_found(spark, folder: str) -> DataFrame:
