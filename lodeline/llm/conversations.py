@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.times import instant_ms
+from lodeline.functions.times import with_instant
 from lodeline.llm.components import components
 from lodeline.tables import cut, table
 
@@ -33,8 +33,8 @@ def message_lines(lines: DataFrame) -> DataFrame:
     """
     used = lines.where("session_id is not null and uuid is not null and not coalesce(is_sidechain, false)")
     has_result = F.coalesce(F.exists(F.from_json("msg_content", _BLOCKS), lambda b: F.coalesce(b["type"] == "tool_result", F.lit(False))), F.lit(False))
-    used = used.select(
-        "session_id", "uuid", "parent_uuid", "line_no", instant_ms(F.col("line_ts")).alias("at_ms"), "line_type",
+    used = with_instant(used, F.col("line_ts"), "at_ms").select(
+        "session_id", "uuid", "parent_uuid", "line_no", "at_ms", "line_type",
         F.when((F.col("line_type") == "user") & ~has_result, _text(F.col("msg_content"), True))
         .when(F.col("line_type") == "assistant", _text(F.col("msg_content"), False)).alias("text"),
     )
