@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeline.operators import sessions, timestamps
+from lodeline.operators import lexical, sessions, timestamps, vectors
 
-_PARTS = [sessions, timestamps]
-FLAGSHIP = "p1_found"
+_PARTS = [sessions, timestamps, lexical, vectors]
+FLAGSHIP = "q05_bm25"
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
