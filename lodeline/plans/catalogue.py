@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeline.operators import lexical, retrieval, sessions, store, timestamps, vectors
+from lodeline.operators import correlate, lexical, retrieval, sessions, store, timestamps, vectors
 
-_PARTS = [sessions, timestamps, lexical, vectors, retrieval, store]
+_PARTS = [sessions, timestamps, lexical, vectors, retrieval, store, correlate]
 FLAGSHIP = "q17_context"
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
