@@ -20,6 +20,11 @@ PROVENANCE = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
