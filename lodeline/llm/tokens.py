@@ -71,11 +71,11 @@ def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text
     near = placed.join(F.broadcast(head), "_word", "left")
     known = near.where("_ids is not null or _word is null").select("_id", "_pos", "_ids")
     rare = near.where("_ids is null and _word is not null").select("_id", "_pos", "_word").join(tail, "_word").select("_id", "_pos", "_ids")
-    row = F.struct("_pos", "_ids")
-    return (
-        known.unionByName(rare).groupBy("_id").agg(F.collect_list(row).alias("_rows"))
-        .select(F.col("_id").alias(id_column), F.flatten(F.filter(F.transform(F.array_distinct(F.array_sort("_rows")), lambda r: r["_ids"]), lambda i: i.isNotNull())).alias("ids"))
-    )
+    gathered = known.unionByName(rare).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_rows"))
+    # Repeated rows of a document bring each position several times, next to each other.
+    once = F.filter("_rows", lambda r, i: (i == 0) | (F.get(F.col("_rows"), i - 1)["_pos"] != r["_pos"]))
+    listed = gathered.select("_id", F.transform(once, lambda r: r["_ids"]).alias("_lists"))
+    return listed.select(F.col("_id").alias(id_column), F.flatten(F.filter("_lists", lambda x: x.isNotNull())).alias("ids"))
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
