@@ -12,15 +12,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, iterated: bool = False) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, without its lineage.
 
     A reliable checkpoint outlives lost executors. The folder is the one named by
     ``spark.checkpoint.dir``; only a session that names none (local tests) gets its own.
+    A checkpoint keeps the size Spark guessed for its plan, and guesses of joins multiply; ``iterated``
+    leaves the guess behind, as loops need it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeline-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if not iterated:
+        return kept
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
