@@ -36,10 +36,10 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
     nodes is a star whose rows stay spread. A node without links is its own component; null nodes
     and links with a null end are ignored; empty tables give no rows.
     """
-    edges = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct())
+    edges = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), iterated=True)
     mark = None
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)), iterated=True)
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == mark:
             break

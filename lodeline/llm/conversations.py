@@ -126,26 +126,26 @@ def _ordered_large(lines: DataFrame) -> DataFrame:
     """
     key = ["session_id", "uuid"]
     rank = F.struct(F.col("at_ms").isNotNull(), F.coalesce("at_ms", F.lit(0)), F.coalesce("line_no", F.lit(0)), "uuid")
-    nodes = cut(lines.select(*key, "parent_uuid", "role", rank.alias("rank")))
-    jumps = [cut(nodes.select(*key, F.col("parent_uuid").alias("up"), F.when(F.col("parent_uuid").isNull(), 0).otherwise(1).cast("bigint").alias("depth")))]
+    nodes = cut(lines.select(*key, "parent_uuid", "role", rank.alias("rank")), iterated=True)
+    jumps = [cut(nodes.select(*key, F.col("parent_uuid").alias("up"), F.when(F.col("parent_uuid").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), iterated=True)]
     while not jumps[-1].where("up is not null").isEmpty():
         above = jumps[-1].select("session_id", F.col("uuid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        jumps.append(cut(jumps[-1].join(above, ["session_id", "up"], "left").select(*key, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))))
+        jumps.append(cut(jumps[-1].join(above, ["session_id", "up"], "left").select(*key, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), iterated=True))
     on_path, scope = None, nodes
     while True:
-        tops = cut(scope.groupBy("session_id").agg(F.max("rank").alias("rank")).select("session_id", F.col("rank.uuid").alias("uuid")))
+        tops = cut(scope.groupBy("session_id").agg(F.max("rank").alias("rank")).select("session_id", F.col("rank.uuid").alias("uuid")), iterated=True)
         if tops.isEmpty():
             break
         marks = tops
         for jump in jumps:
             up = jump.join(marks, key).where("up is not null").select("session_id", F.col("up").alias("uuid"))
-            marks = cut(marks.unionByName(up).distinct())
-        on_path = marks if on_path is None else cut(on_path.unionByName(marks).distinct())
-        below = cut(nodes.select(*key, "parent_uuid").join(tops.select("session_id", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("under")), ["session_id", "parent_uuid"], "left").select(*key, F.coalesce("under", F.lit(False)).alias("under")))
+            marks = cut(marks.unionByName(up).distinct(), iterated=True)
+        on_path = marks if on_path is None else cut(on_path.unionByName(marks).distinct(), iterated=True)
+        below = cut(nodes.select(*key, "parent_uuid").join(tops.select("session_id", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("under")), ["session_id", "parent_uuid"], "left").select(*key, F.coalesce("under", F.lit(False)).alias("under")), iterated=True)
         for jump in jumps[:-1]:
             higher = below.select("session_id", F.col("uuid").alias("up"), F.col("under").alias("_under"))
-            below = cut(below.join(jump.select(*key, "up"), key).join(higher, ["session_id", "up"], "left").select(*key, (F.col("under") | F.coalesce("_under", F.lit(False))).alias("under")))
-        scope = cut(nodes.join(below.where("under").select(*key), key))
+            below = cut(below.join(jump.select(*key, "up"), key).join(higher, ["session_id", "up"], "left").select(*key, (F.col("under") | F.coalesce("_under", F.lit(False))).alias("under")), iterated=True)
+        scope = cut(nodes.join(below.where("under").select(*key), key), iterated=True)
     if on_path is None:
         return nodes.select(*key, F.lit(0).cast("bigint").alias("step"), "role").limit(0)
     return on_path.join(jumps[-1].select(*key, F.col("depth").alias("step")), key).join(nodes.select(*key, "role"), key).select(*key, "step", "role")

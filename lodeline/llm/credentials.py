@@ -164,7 +164,7 @@ def spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
                         if not (v := _value(text, m, how)):
                             continue
                         value = text[v[0] : v[1]]
-                        if (_base64(value) if how == "basic" else live(value, "strict" if how == "address" else how)) and v not in found[no]:
+                        if (_base64(value) if how == "basic" else live(value, "strict" if how == "address" or m["q"] else how)) and v not in found[no]:
                             found[no][v] = {"address": "password", "basic": "login"}.get(how, "secret")
     out = []
     for each in found:

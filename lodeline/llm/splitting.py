@@ -80,22 +80,24 @@ def pieces(text: str, max_size: int, overlap: int, unit: str) -> list[tuple[int,
         return [(0, n)]
     strength = strengths(text)
     best = RangeMax(strength)
-    out, start = [], 0
+    out, start, reached = [], 0, 0
     while True:
         last = int(np.searchsorted(size, size[start] + max_size, side="right")) - 1
         if last >= n:
             out.append((start, n))
             return out
-        least = int(np.searchsorted(size, size[start] + overlap, side="right"))  # so that the next piece starts later than this
-        least = max(least, start + 1)
-        last = max(last, least)
+        # The cut lies behind the last one, and so far on that the next piece starts later than this one.
+        least = max(int(np.searchsorted(size, size[start] + overlap, side="right")), start + 1, reached + 1)
+        last = max(last, reached + 1, start + 1)
+        least = min(least, last)
         end = best.query(min(max(int(np.searchsorted(size, size[start] + max_size // 3)), least), last), last)
         if strength[end] <= 1:
             end = best.query(least, last)
         out.append((start, end))
         if end == n:
             return out
-        start = max(int(np.searchsorted(size, size[end] - overlap)), start + 1)
+        room = min(int(np.searchsorted(size, size[end + 1] - max_size)), end)  # so that the next piece holds one more character
+        start, reached = max(int(np.searchsorted(size, size[end] - overlap)), start + 1, room), end
 
 
 def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
