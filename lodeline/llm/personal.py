@@ -20,7 +20,7 @@ _PARTICLE = r"(?:von|van|der|den|de|del|della|di|da|dos|la|le|ter|ten|bin|ibn|zu
 _LAST = rf"(?:(?:{_PARTICLE} )*(?:(?:al|el)-)?{_CAPITAL})"
 _FULL = rf"(?:{_CAPITAL}(?: [{_UP}]\.)*(?: {_LAST}){{1,2}}|{_LAST}, {_CAPITAL}(?: [{_UP}]\.)*)"
 _CJK_FULL = r"(?:[一-鿿]{2,6}·[一-鿿]{2,6}|[ァ-ヴー]{2,}[・＝ ][ァ-ヴー]{2,})"
-_ANY = rf"(?:{_FULL}|{_CJK_FULL})"
+_ANY = rf"(?:(?<![A-Za-z0-9À-ž])(?:{_FULL}|{_CJK_FULL}))"
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+/:-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| ?\{dot\} ?| dot )"
@@ -34,8 +34,8 @@ _PHONES = (
     (0.6, re.compile(r"(?<![A-Za-z0-9_.+/-])0\d{1,4}(?:[ /-]\d{2,6}){1,5}(?![A-Za-z0-9_-])")),
     (0.35, re.compile(r"(?<![A-Za-z0-9_.+/-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![A-Za-z0-9_-])")),
 )
-_PHONE_NEAR = re.compile(r"(?i)(?:phone|call|tel\.?|tél|telefon|teléfono|mobile|appelez|rückruf|ruf|llama|fax|whatsapp|电话|電話|전화|телефон|हाल|फ़ोन|هاتف|โทร)\W{0,3}(?:\w+\W+){0,3}$")
-_NUMBER_NEAR = re.compile(r"(?i)(?:build|ticket|invoice|order|version|took|id|no\.?|sec\.?|ref|issue|pr|column|inc-|release|code)\W{0,3}(?:\w+\W+){0,1}$")
+_PHONE_NEAR = re.compile(r"(?i)(?:\bphone|call|tel\.?|tél|telefon|teléfono|mobile|appelez|rückruf|ruf|llama|fax|whatsapp|电话|電話|전화|телефон|हाल|फ़ोन|هاتف|โทร)\W{0,3}(?:\w+\W+){0,3}$")
+_NUMBER_NEAR = re.compile(r"(?i)\b(?:build|ticket|invoice|order|version|took|id|no|sec|ref|issue|pr|column|inc|release|code)\b\W{0,3}(?:\w+\W+)?$")
 _LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 _STREET_EN = r"(?:Street|St\.|St(?![A-Za-z0-9_])|Avenue|Ave\.|Ave(?![A-Za-z0-9_])|Road|Rd\.|Rd(?![A-Za-z0-9_])|Lane|Ln\.|Drive|Dr\.|Boulevard|Blvd\.?|Court|Ct\.|Close|Way|Place|Square|Terrace|Crescent|Parkway|Row|Hill|Mews)"
@@ -72,6 +72,9 @@ _TITLED = re.compile(rf"{_TITLE}\.? ")
 _NO_NAME = re.compile(r"(?:The|A|An|This|That|These|It|If|When|On|In|At|After|Before|Once|During|Under|Our|My|Please|Der|Die|Das|Ein|Eine|La|Le|Les|El|Los|Las|Un|Une|Q|I|Signed|Reported|Hook|Cursor|Index|Lock|Budget|Log|Error|Timeout|Overflow)\b")
 
 
+_LONE = re.compile(rf"[{_UP}] ")
+
+
 def luhn(digits: str) -> bool:
     total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(digits)))
     return total % 10 == 0
@@ -155,6 +158,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             start, end = m.span("n")
             if title := _TITLED.match(text, start, end):
                 start = title.end()
+            # words of prose, and a lone letter, that happen to stand before a name
+            while (skipped := _NO_NAME.match(text, start, end) or _LONE.match(text, start, end)) and (after := text.find(" ", skipped.start(), end)) > 0 and " " in text[after + 1 : end]:
+                start = after + 1
             if not _NO_NAME.match(text, start, end):
                 found.append((0.8, start, end, "name"))
     found.sort(key=lambda f: (-f[0], f[1] - f[2], f[1]))
