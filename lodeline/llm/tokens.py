@@ -21,6 +21,8 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HEAD_WORDS = 20_000
 #: Longest word that is broadcast, in characters; with HEAD_WORDS it bounds the broadcast to a few MB.
 HEAD_CHARS = 32
+#: Bits of a token's place within its word and of its id, in numbers that keep the order of a text.
+SUB_BITS, ID_BITS = 15, 20
 
 
 @functools.cache
@@ -71,8 +73,17 @@ def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text
     near = placed.join(F.broadcast(head), "_word", "left")
     known = near.where("_ids is not null or _word is null").select("_id", "_pos", "_ids")
     rare = near.where("_ids is null and _word is not null").select("_id", "_pos", "_word").join(tail, "_word").select("_id", "_pos", "_ids")
-    gathered = known.unionByName(rare).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_rows"))
-    # Repeated rows of a document bring each position several times, next to each other.
+    found = known.unionByName(rare)
+    if table_.where((F.size("ids") >= 1 << SUB_BITS) | F.exists("ids", lambda i: i >= 1 << ID_BITS)).isEmpty():
+        # Place of the word, place within it and id in one number each, which shuffle less than structs.
+        place = F.shiftleft(F.col("_pos").cast("bigint"), SUB_BITS + ID_BITS)
+        keys = F.transform("_ids", lambda i, k: place + F.shiftleft(k.cast("bigint"), ID_BITS) + i)
+        numbers = found.select("_id", keys.alias("_k")).groupBy("_id").agg(F.sort_array(F.flatten(F.collect_list("_k"))).alias("_keys"))
+        # Repeated rows of a document bring each key several times, next to each other.
+        once = F.filter("_keys", lambda k, i: (i == 0) | (F.get(F.col("_keys"), i - 1) != k))
+        return numbers.select(F.col("_id").alias(id_column), F.transform(once, lambda k: k.bitwiseAND((1 << ID_BITS) - 1).cast("int")).alias("ids"))
+    # Single words of more tokens, or larger vocabularies, keep their lists.
+    gathered = found.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_rows"))
     once = F.filter("_rows", lambda r, i: (i == 0) | (F.get(F.col("_rows"), i - 1)["_pos"] != r["_pos"]))
     listed = gathered.select("_id", F.transform(once, lambda r: r["_ids"]).alias("_lists"))
     return listed.select(F.col("_id").alias(id_column), F.flatten(F.filter("_lists", lambda x: x.isNotNull())).alias("ids"))

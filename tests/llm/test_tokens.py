@@ -1,11 +1,14 @@
 import pytest
+from lodeline.llm import tokens
 from lodeline.llm.mixing import mix
 from lodeline.llm.tokens import BYTE_BPE, FOLDER, _tokenizer, decoded, token_ids
 
 TEXTS = ["", None, "Hello  world\n\n x", "it's we'll 'S <|endoftext|>", "   ", "ÅÅ naı̈ve Ⅳ 𝒙𝒚 👩‍💻👍🏽​ a\x85b  c", "a" * 3000, "字" * 500 + " 12345 \r\n\t", "x " * 4000]
 
 
-def test_ids_equal_the_tokenizer_and_come_back(spark):
+@pytest.mark.parametrize("bits", [15, 4])
+def test_ids_equal_the_tokenizer_and_come_back(spark, monkeypatch, bits):
+    monkeypatch.setattr(tokens, "SUB_BITS", bits)  # with 4, long words take the other way
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], "clash"), (None, "one", "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
     out = token_ids(df)
