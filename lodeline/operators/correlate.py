@@ -231,3 +231,10 @@ SQL = {
     "q30_open_verdicts": f"""with n as ({LIVE_SQL}), v as (select node_id as c, node_id as a from n where kind = 'doc_section' and signal_score > 0.6 union all select supersedes, node_id from n where supersedes is not null)
 select c as candidate_id, a as against_id, x.title as candidate_title, y.title as against_title from v join n x on c = x.node_id join n y on a = y.node_id where c not in (select supersedes from n where supersedes is not null)""",
 }
+_near = "round(list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), 6)"
+SQL["q30_to_judge"] = f"""with p as (select a.vec_id as candidate_id, arg_min(b.vec_id, ({_near}, b.vec_id)) as against_id from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by a.vec_id)
+select * from p where candidate_id % 40 <> 0 order by candidate_id limit 10"""
+SQL["q25_resolutions"] = f"""with {_RUNS}, {_RETRY}, top as (select entry_id, row_number() over (order by at_ms desc, entry_id) as position from (select * from runs where failed order by at_ms desc, entry_id limit 30)),
+far as (select success_id, min((position, failure_id)) as first from links join top on failure_id = entry_id where success_id not in (select entry_id from top) group by success_id),
+al as (select cast(entry_id as varchar) as node_id, position, 0 as sub, null as pulled_by, null as other from top union all select cast(success_id as varchar), first[1], 1, cast(first[2] as varchar), cast(success_id as varchar) from far)
+select node_id, cast(row_number() over (order by position, sub, other) as int) as position, pulled_by from al"""

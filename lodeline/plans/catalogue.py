@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from lodeline.operators import collect, correlate, lexical, retrieval, sessions, store, structure, timestamps, vectors
+from lodeline.plans import sources
 from lodeline.streaming import ingest
 
-_PARTS = [sessions, timestamps, lexical, vectors, retrieval, store, correlate, collect, structure, ingest]
+_PARTS = [sessions, timestamps, lexical, vectors, retrieval, store, correlate, collect, structure, ingest, sources]
 FLAGSHIP = "q17_context"
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodeline.functions.text import trimmed
 
@@ -30,7 +31,7 @@ def read_log(spark: SparkSession, repository: str, **options) -> DataFrame:
     return spark.createDataFrame([(r,) for r in text.split(RECORD) if r], "record string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unquoted(paths: pd.Series) -> pd.Series:
     """Quoted paths with octal bytes and escapes as they are on disk; others unchanged."""
     letters = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "a": "\a"}
