@@ -12,7 +12,7 @@ from lodeline.functions.redaction import KEY_VALUE, SHAPES, redacted, redactions
 from lodeline.functions.text import approx_tokens, let, trimmed, truncated
 from lodeline.functions.times import with_instant
 from lodeline.operators.lexical import LIVE_SQL, live_nodes
-from lodeline.tables import table
+from lodeline.tables import cut, table
 
 _NAMES = r"(?:[\w.-]+/)*[\w-]+\.(?:ts|tsx|js|jsx|json|md|py|rs|go|java|c|cpp|h|hpp|css|html|ya?ml|toml|sql|sh|ps1)"
 #: Word borders are those of plain letters and digits, also next to other scripts.
@@ -140,13 +140,22 @@ def parsed_verdict(raw: Column) -> Column:
 
 
 def even_sample(rows: DataFrame, order: str, k: int) -> DataFrame:
-    """``k`` rows at even distances of the order, the first and the last among them; all where there are no more than ``k``."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    n = rows.count()
+    """``k`` rows at even distances of the order, the first and the last among them; all where there are no more than ``k``.
+
+    Rows are numbered within range partitions, whose sizes alone come to the driver.
+    """
+    spread = cut(rows.orderBy(order).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r["_p"], r["count"]) for r in spread.groupBy("_p").count().collect())
+    n = sum(c for _, c in sizes)
     if n <= k:
-        return numbered.drop("_i")
+        return spread.drop("_p")
     wanted = sorted({int((i * (n - 1)) / (k - 1) + 0.5) for i in range(k)}) if k > 1 else [0]
-    return numbered.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in wanted], "_i int")), "_i").drop("_i")
+    places, before = [], 0
+    for p, c in sizes:
+        places += [(p, w - before) for w in wanted if before <= w < before + c]
+        before += c
+    numbered = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
+    return numbered.join(F.broadcast(rows.sparkSession.createDataFrame(places, "_p int, _i int")), ["_p", "_i"]).drop("_p", "_i")
 
 
 # --- queries ---------------------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,19 +62,15 @@ def live_failures(stream: DataFrame) -> DataFrame:
 
 def q74_stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """The hook log of ``folder`` landed as JSON lines, streamed in, replayed, and read again: each event once."""
-    import shutil
-    import tempfile
-
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeline-stream-")
-    place = f"{root.removeprefix('file://')}/q74-{abs(hash((folder, spark.sparkContext.applicationId)))}"
-    shutil.rmtree(place, ignore_errors=True)
+    place = f"{root if '://' in root else 'file://' + root}/stream-{uuid.uuid4().hex}"
     log = spark.read.parquet(f"{folder}/hook_log.parquet").where("ts is not null and cwd is not null and command is not null")
     rows = log.select("ts", "cwd", F.col("exit_code").alias("exitCode"), F.col("duration_ms").alias("durationMs"), "command")
     for again in range(2):
-        rows.write.json(f"file://{place}/landed/{again}")
-        stream = hook_stream(spark, f"file://{place}/landed/*")
-        ingest(stream, f"file://{place}/table", f"file://{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"file://{place}/table").select("event_key", "ts", F.col("exitCode").alias("exit_code"))
+        rows.write.json(f"{place}/landed/{again}")
+        stream = hook_stream(spark, f"{place}/landed/*")
+        ingest(stream, f"{place}/table", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/table").select("event_key", "ts", F.col("exitCode").alias("exit_code"))
 
 
 QUERIES = {"q74_stream_ingest": q74_stream_ingest}
