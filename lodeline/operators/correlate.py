@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.text import normalised_command
 from lodeline.functions.times import with_instant
-from lodeline.operators.lexical import LIVE_SQL, live_nodes, spaced, words, words_sql
+from lodeline.operators.lexical import LIVE_SQL, live_nodes, words, words_sql
 from lodeline.operators.sessions import directory_key
 from lodeline.operators.vectors import nearest_of_queries
 from lodeline.tables import table
@@ -84,22 +84,28 @@ def file_words(path: Column) -> Column:
 
 
 def file_risk(paths: DataFrame, failures: DataFrame, links: DataFrame, touches: DataFrame, now_ms: int, days: int = RISK_DAYS) -> DataFrame:
-    """(path, failures, commits, flagged): failures without link whose command holds all words of the file's name, and commits touching it, in the last days.
+    """(path, failures, commits, flagged): failures without link whose command holds all words of the file's name, each as a prefix, and commits touching it, in the last days.
 
-    ``paths`` is the bounded list of files under review and is broadcast; words in more than a fifth of all
-    commands don't count.
+    Words in more than a fifth of all commands don't count. The distinct words of commands meet those of
+    names once, on equal prefixes; names with the same words are matched once. A failure is a candidate of
+    a name by the name's rarest word only, its other words are then looked up in the failure's own.
     """
     since = now_ms - days * DAY_MS
-    text = failures.select("failure_id", "at_ms", spaced(F.col("command")).alias("_c"))
-    listed = paths.select("path").distinct().withColumn("_w", F.explode_outer(file_words(F.col("path"))))
-    total = text.agg(F.count(F.lit(1)).alias("total"))
-    hits = text.join(F.broadcast(listed), F.col("_c").contains(F.concat(F.lit(" "), F.col("_w"))))
-    df = hits.groupBy("path", "_w").agg(F.count(F.lit(1)).alias("df"))
-    kept = listed.join(df, ["path", "_w"], "left").join(F.broadcast(total)).where("_w is not null and (total < 10 or coalesce(df, 0) / total <= 0.2)").select("path", "_w")
-    wanted = kept.groupBy("path").agg(F.count(F.lit(1)).alias("wanted"))
-    met = hits.where(F.col("at_ms") >= since).join(F.broadcast(kept), ["path", "_w"]).groupBy("path", "failure_id").agg(F.count(F.lit(1)).alias("met"))
-    open_ = met.join(F.broadcast(wanted), "path").where("met = wanted").join(links.select("failure_id"), "failure_id", "left_anti")
-    failed = open_.groupBy("path").agg(F.count(F.lit(1)).alias("failures"))
+    said = failures.select("failure_id", "at_ms", F.explode(F.array_distinct(words(F.col("command")))).alias("word"))
+    total = failures.agg(F.count(F.lit(1)).alias("total"))
+    named = paths.select("path").distinct().withColumn("_k", F.array_sort(F.array_distinct(file_words(F.col("path")))))
+    names = named.select("_k").where("size(_k) > 0").distinct()
+    listed = names.select(F.explode("_k").alias("_w")).distinct()
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), 1, n))).alias("_w")
+    means = said.select("word").distinct().select("word", prefix).join(listed, "_w")
+    hits = said.join(means, "word").select("failure_id", "at_ms", "_w").distinct()
+    df = hits.groupBy("_w").agg(F.count(F.lit(1)).alias("df"))
+    kept = listed.join(df, "_w", "left").fillna(0, ["df"]).join(F.broadcast(total)).where("total < 10 or df / total <= 0.2").select("_w", "df")
+    wanted = names.withColumn("_w", F.explode("_k")).join(kept, "_w").groupBy("_k").agg(F.min(F.struct("df", "_w"))["_w"].alias("_w"), F.collect_set("_w").alias("_all"))
+    recent = hits.where(F.col("at_ms") >= since).join(links.select("failure_id"), "failure_id", "left_anti")
+    held = recent.groupBy("failure_id").agg(F.collect_set("_w").alias("_has")).withColumn("_w", F.explode("_has"))
+    met = wanted.join(held, "_w").where(F.size(F.array_except("_all", "_has")) == 0)
+    failed = named.join(met.groupBy("_k").agg(F.count(F.lit(1)).alias("failures")), "_k").select("path", "failures")
     commits = touches.where(F.col("at_ms") >= since).groupBy(F.col("file_path").alias("path")).agg(F.countDistinct("sha").alias("commits"))
     out = paths.select("path").distinct().join(failed, "path", "left").join(commits, "path", "left").fillna(0, ["failures", "commits"])
     return out.withColumn("flagged", (F.col("failures") > 0) | (F.col("commits") >= RISK_COMMITS))
@@ -181,9 +187,7 @@ def q25_resolutions(spark, folder):
 def q28_file_risk(spark, folder):
     d = with_instant(table(spark, folder, "file_diffs"), F.col("authored_at"), "at_ms")
     paths = d.select(F.col("file_path").alias("path"))
-    small = d.groupBy(F.col("file_path").alias("path")).agg(F.countDistinct("sha").alias("n")).orderBy(F.desc("n"), "path").limit(60)
-    links = q21_retry_links(spark, folder)
-    return file_risk(paths.join(F.broadcast(small), "path", "left_semi"), _failures(spark, folder), links, d, PATCH_NOW_MS)
+    return file_risk(paths, _failures(spark, folder), q21_retry_links(spark, folder), d, PATCH_NOW_MS)
 
 
 def q29_stale(spark, folder):

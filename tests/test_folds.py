@@ -1,5 +1,5 @@
 from lodeline.operators.collect import chunks, sections, turns_of, within_budget
-from lodeline.operators.correlate import file_risk
+from lodeline.operators.correlate import file_risk, q28_file_risk
 from lodeline.operators.retrieval import best_hunk, packed, summary
 from pyspark.sql import functions as F
 
@@ -59,3 +59,13 @@ def test_file_risk(spark):
     touches = spark.createDataFrame([("src/other.ts", f"c{i}", 900) for i in range(4)], "file_path string, sha string, at_ms bigint")
     out = {r.path: (r.failures, r.commits, r.flagged) for r in file_risk(paths, failures, links, touches, 2000).collect()}
     assert out == {"src/queue.batch.ts": (1, 0, True), "src/other.ts": (0, 4, True), "src/run.ts": (0, 0, False)}
+
+
+def test_file_risk_examines_every_file(spark, tmp_path):
+    """A file of one commit among a hundred busier ones is flagged by its unresolved failure; repeated words of a name count once."""
+    diffs = [(f"src/busy{i}.ts", f"c{i}{j}", "2018-03-20T10:00:00Z") for i in range(100) for j in range(2)] + [("src/quiet-quiet.ts", "q", "2018-03-20T10:00:00Z")]
+    spark.createDataFrame(diffs, "file_path string, sha string, authored_at string").write.parquet(str(tmp_path / "file_diffs.parquet"))
+    log = [(i, "2018-03-21T10:00:00Z", "/a", "npm test quietly" if i == 0 else f"run {i}", 1) for i in range(20)]
+    spark.createDataFrame(log, "entry_id bigint, ts string, cwd string, command string, exit_code int").write.parquet(str(tmp_path / "hook_log.parquet"))
+    out = {r.path: (r.failures, r.commits, r.flagged) for r in q28_file_risk(spark, str(tmp_path)).collect()}
+    assert len(out) == 101 and out["src/quiet-quiet.ts"] == (1, 1, True) and out["src/busy7.ts"] == (0, 2, False)
