@@ -19,7 +19,7 @@ MODEL_ENTRIES = 200_000
 ROUNDS = 3
 
 # Marks that end, close and open, and the layout of lines.
-_WIDE_ENDS = "。！？｡．"
+_WIDE_ENDS = "。！？｡．។៕။"
 _ENDS = ".!?…‥؟۔।॥։" + _WIDE_ENDS
 _CLOSERS = "\"'”’“‘»›」』）)]】》〉*_`"
 _OPENERS = "\"'“„‚‘«‹「『（([【《〈¿¡*_`"
@@ -35,6 +35,10 @@ TITLES = frozenset("mr mrs ms mx dr prof st hr fr herr frau sr sra srta dra mme
 BEFORE_ORDINALS = frozenset("am im vom zum zur der die das dem den des ab bis seit beim ins ans ein eine einem einen jeder jede jedem seinem ihrem dieser diesem".split())
 #: Weight of what the marks around a gap say, beside the model.
 PRIOR_WEIGHT = 0.5
+#: Belief in a boundary at a gap without a mark, in blocks whose marks end no sentence, before anything is learnt.
+PLAIN_PRIOR = 0.05
+#: Words of one shape that a word never seen is thought to be one of.
+UNSEEN = 1000
 
 _LINE = re.compile(r"[^\n\r]*(?:\r\n|\n|\r|$)")
 _INDENT = rf"[{_BLANKS.replace(chr(10), '').replace(chr(13), '')}]*"
@@ -54,6 +58,21 @@ _IS_CJK = re.compile(rf"[{_CJK}]")
 _PATH = re.compile(r"^[\"'“„«(\[]*(?:https?://|[\w.-]+/[\w./-]+|\.[a-z]\w+|[\w-]+\.(?:ts|js|py|go|rs|md|sql|yaml|yml|json|java|html|sh|txt|toml|log)\b)")
 _CORE = re.compile(rf"^[{re.escape(_OPENERS)}]*(.*?)[{re.escape(_ENDS + _CLOSERS)},;:，、；：]*$", re.S)
 
+#: Words of spaced scripts; of scripts without spaces a letter with all that is written around it (Han and kana, Lao, Khmer, Burmese).
+_LETTERS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u0e81-\u0edf\u1000-\u103f\u1050-\u109f\u1780-\u17d3"
+_UNIT = re.compile(
+    "[\u1780-\u17b3](?:\u17d2[\u1780-\u17b3]|[\u17b4-\u17d1\u17d3])*"
+    "|[\u1000-\u102a\u103f\u1050-\u1055](?:\u1039[\u1000-\u102a]|[\u102b-\u1038\u103a-\u103e\u1056-\u1059]|[\u1000-\u1021]\u103a)*"
+    "|[\u0ec0-\u0ec4]?[\u0e81-\u0eae\u0edc-\u0edf][\u0eaf-\u0ebd\u0ec6-\u0ecf]*"
+    "|[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f][ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮー々ﾞﾟ]*"
+    rf"|[^{_BLANKS}{_LETTERS}]+|[^{_BLANKS}]"
+)
+_IS_LETTER = re.compile(f"[{_LETTERS}]")
+_HAS_THAI = re.compile(f"[{_THAI}]")
+_ENDED = re.compile(rf"[{re.escape(_ENDS)}](?:[{_BLANKS}]|[{re.escape(_CLOSERS)}])*\Z")
+_JOINS = ",;:，、；：—–-(（[【"
+_JOINED = ",;:，、；：—–-(（[【”’»›」』）)]】》〉"
+
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whole) of the parts of a text that sentences never cross; ``whole`` ones are one sentence."""
@@ -182,14 +201,90 @@ def _right(text: str, start: int, high: int) -> str:
 class Gap:
     """One place where a sentence may end: where, the words around, and what is believed beforehand."""
 
-    __slots__ = ("end", "prior", "start", "u1", "u2", "v1")
+    __slots__ = ("end", "plain", "prior", "start", "u1", "u2", "v1")
 
-    def __init__(self, end, start, u2, u1, v1, prior):
+    def __init__(self, end, start, u2, u1, v1, prior, plain=None):
         self.end, self.start, self.u2, self.u1, self.v1, self.prior = end, start, u2, u1, v1, prior
+        #: Of gaps without a mark (where u1 starts, script): their words are units, read by the part of the model that knows no marks.
+        self.plain = plain
+
+
+@functools.lru_cache(200_000)
+def _bare(token: str) -> str:
+    """A word without the marks around it, '' if it is none but marks."""
+    return _norm(_CORE.match(token)[1])
+
+
+def _context(word: str) -> str:
+    return word if word == "PATH" else word.lower()
+
+
+def units(text: str, low: int, high: int) -> list[tuple[int, int, str, str]]:
+    """(start, end, word, word as the next one) of the units of text[low:high]; the latter of scripts without spaces is two of them."""
+    found = [(m.start(), m.end(), _bare(m[0])) for m in _UNIT.finditer(text, low, high)]
+    out = []
+    for i, (a, b, word) in enumerate(found):
+        following = word
+        if i + 1 < len(found) and _IS_LETTER.match(word) and found[i + 1][0] == b:
+            following += found[i + 1][2]
+        out.append((a, b, word, following))
+    return out
+
+
+def _joined(text: str, left: tuple, right: tuple) -> bool:
+    """Whether no sentence can end between two units: a mark or bracket joins them, one is a mark, or nothing parts the words."""
+    if not left[2] or not right[2] or text[left[1] - 1] in _JOINS or text[right[0]] in _JOINED:
+        return True
+    return left[1] == right[0] and not (_IS_LETTER.match(text[left[1] - 1]) and _IS_LETTER.match(text[right[0]]))
+
+
+def _plain_script(text: str, low: int, high: int) -> str:
+    """The script of a block, 'f' where letters have cases and no capital is among them, or nothing else."""
+    script = _script(text, low, high)
+    if script == "l" and (text[low:high].islower() or text[low:high].isupper()):
+        return "f"
+    return script
+
+
+def _plain_gaps(text: str, low: int, high: int, taken: set[int]) -> list[Gap]:
+    """Every gap between words (letters, in scripts without spaces) but those ``taken``; the model decides."""
+    found, script = units(text, low, high), _plain_script(text, low, high)
+    closed = []
+    for a, b in _quote_spans(text[low:high]):
+        at = low + a - 1
+        while at >= low and text[at] in _STRIP:
+            at -= 1
+        if text[low + a] in "(（" or at >= low and text[at] not in _ENDS + _CLOSERS + _OPENERS or _goes_on(text[low:high], b + 1):
+            closed.append((low + a, low + b))
+    out, i, until = [], 0, low
+    u2 = "<s>"
+    for left, right in zip(found, found[1:], strict=False):
+        while i < len(closed) and closed[i][0] < left[1]:
+            until = max(until, closed[i][1])
+            i += 1
+        if left[1] not in taken and left[1] > until and not _joined(text, left, right):
+            v1 = right[3].lower() if script == "f" and right[3] != "PATH" else right[3]
+            out.append(Gap(left[1], right[0], u2, _context(left[2]), v1, PLAIN_PRIOR, (left[0], script)))
+        u2 = _context(left[2]) if left[2] else u2
+    return out
 
 
 def gaps(text: str, low: int, high: int) -> list[Gap]:
-    """The gaps of text[low:high] in order, but for its end."""
+    """The gaps of text[low:high] in order, but for its end.
+
+    Where marks end sentences, gaps are behind marks; where no mark may, between any two words. In Thai, blanks between letters end sentences
+    by rule and nothing else but marks does.
+    """
+    out = _mark_gaps(text, low, high)
+    body = text[low:high]
+    if any(g.prior > 0.1 for g in out) or _ENDED.search(body) or _HAS_THAI.search(body):
+        return out
+    plain = _plain_gaps(text, low, high, {g.end for g in out})
+    return sorted(out + plain, key=lambda g: g.end) if out else plain
+
+
+def _mark_gaps(text: str, low: int, high: int) -> list[Gap]:
+    """The gaps behind marks, and the blanks of Thai."""
     body = text[low:high]
     spans = None
     found: dict[int, tuple[int, int, float | None]] = {}
@@ -303,6 +398,22 @@ def events(u2: str, u1: str, v1: str, script: str, p: float, n: float) -> list[t
     return [("\t".join(k), c * n) for k, c in out if c > 1e-6]
 
 
+def _cased(script: str, word: str) -> list[tuple[str, str]]:
+    """A word as counted: in scripts with letter cases also without them, for texts that use none."""
+    return [(script, word), ("f", word if word == "PATH" else word.lower())] if script == "l" else [(script, word)]
+
+
+def plain_events(kind: str, u2: str, u1: str, v1: str, script: str, n: float) -> list[tuple[str, float]]:
+    """Counts of the n-grams without marks: 'b' of sentence ends, 'n' of words that end none, 'a' of first words, 'w' of later ones."""
+    if kind in "bn":
+        yes = "1" if kind == "b" else "0"
+        keys = [("n0", _shape(u1), yes), ("n1", u1, yes), ("n2", u2, u1, yes)]
+    else:
+        keys = [k for sc, v in _cased(script, v1) for k in ((kind + "1", sc, v), (kind + "0", sc, _shape(v)), (kind, sc))]
+        keys += [("w2", sc, u1, v) for sc, v in _cased(script, v1) if kind == "w"]
+    return [("\t".join(k), n) for k in keys if n > 1e-6]
+
+
 class Model:
     """Interpolated n-gram probabilities: of the boundary event after words, and of words after it and within sentences."""
 
@@ -337,6 +448,30 @@ class Model:
             self.memo[u2, u1, v1, script] = told
         return told
 
+    def plain_odds(self, u2: str, u1: str, v1: str, script: str) -> float:
+        """Log odds of a boundary between words u1 and v1 with no mark between them."""
+        key = ("plain", u2, u1, v1, script)
+        if (known := self.memo.get(key)) is not None:
+            return known
+        p, stays = 0.1, 0.0
+        for weight, n in ((1, ("n0", _shape(u1))), (2, ("n1", u1)), (6, ("n2", u2, u1))):
+            yes, no = self._get(*n, "1"), self._get(*n, "0")
+            p = (yes + weight * p) / (yes + no + weight)
+            stays = no if n[0] == "n1" else stays
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        shape = _shape(v1)
+        begin, within = (
+            (0.9 * self._get(k + "1", script, v1) + 0.1 * (self._get(k + "0", script, shape) + 0.1) / UNSEEN) / (self._get(k, script) + 1) for k in "aw"
+        )
+        within = (self._get("w2", script, u1, v1) + 5 * within) / (stays + 5)
+        told = math.log(p / (1 - p)) + min(7.0, max(-7.0, math.log(begin / within)))
+        if len(self.memo) < 400_000:
+            self.memo[key] = told
+        return told
+
+    def plain_with_prior(self, u2: str, u1: str, v1: str, script: str, prior: float) -> float:
+        return self.plain_odds(u2, u1, v1, script) + PRIOR_WEIGHT * math.log(prior / (1 - prior))
+
     def with_prior(self, u2: str, u1: str, v1: str, script: str, prior: float) -> float:
         prior = min(max(prior, 0.01), 0.99)
         return self.log_odds(u2, u1, v1, script) + PRIOR_WEIGHT * math.log(prior / (1 - prior))
@@ -346,6 +481,11 @@ class Model:
         n = len(chain)
         weights = []
         for i, g in enumerate(chain):
+            if g.plain:
+                at, own = g.plain
+                free = self.plain_with_prior(g.u2, g.u1, g.v1, own, g.prior)
+                weights.append((free, self.plain_with_prior("<s>", g.u1, g.v1, own, g.prior) if i and chain[i - 1].start == at else free))
+                continue
             free = self.with_prior(g.u2, g.u1, g.v1, script, g.prior)
             tied = self.with_prior("<s>", g.u1, g.v1, script, g.prior) if i and chain[i - 1].start >= g.end - len(g.u1) - 2 else free
             weights.append((free, tied))
@@ -396,7 +536,10 @@ def sentences_of(text: str, model: Model) -> list[tuple[int, int]]:
 
 
 def _windows(texts) -> Counter:
-    """Counted windows (kind, u2, u1, v1, script, prior): 'g' gaps, 's' starts and 'e' ends of blocks, which are certain, 'm' words within sentences."""
+    """Counted windows (kind, u2, u1, v1, script, prior): 'g' gaps, 's' starts and 'e' ends of blocks, which are certain, 'm' words within sentences.
+
+    Without marks: 'p' gaps, 'b' and 'a' words around certain boundaries, 'n' and 'w' those where there is none.
+    """
     seen: Counter = Counter()
     for text in texts:
         for low, high, whole in blocks(text):
@@ -416,16 +559,45 @@ def _windows(texts) -> Counter:
             if u1 and u1[-1] in _ENDS + _CLOSERS:
                 seen["e", "", u1, "", script, 1.0] += 1
             starts = {body}
+            believed: dict[int, float | None] = {}
             for g in gaps(text, body, high):
+                if g.plain:
+                    believed[g.start] = None
+                    seen["p", g.u2, g.u1, g.v1, g.plain[1], g.prior] += 1
+                    continue
                 starts.add(g.start)
+                believed[g.start] = g.prior
                 if g.prior != 0.0:
                     seen["g", g.u2, g.u1, g.v1, script, round(g.prior, 2)] += 1
             for m in _TOKEN.finditer(text, body, end):
                 if m.start() not in starts:
                     seen["m", "", "", _right(text, m.start(), high), script, 1.0] += 1
+            if not _HAS_THAI.search(text, body, end):
+                _plain_windows(seen, text, body, end, believed)
     return seen
 
 
+def _plain_windows(seen: Counter, text: str, low: int, high: int, believed: dict[int, float | None]) -> None:
+    """Counts what a block tells of words at and away from boundaries, where marks are sure enough; None in ``believed`` stands for hidden."""
+    found, script = units(text, low, high), _plain_script(text, low, high)
+    u2, u1, fresh = "", "<s>", True
+    for i, right in enumerate(found):
+        left = found[i - 1] if i else right
+        prior = believed.get(right[0], 0.0)
+        if i and prior is not None and prior >= 0.5 and u1 != "<s>":
+            seen["b", u2, u1, "", script, 1.0] += 1
+            u2, u1, fresh = "", "<s>", True
+        elif i and prior is not None and prior <= 0.1 and not fresh and not _joined(text, left, right):
+            seen["n", u2, u1, "", script, 1.0] += 1
+            seen["w", "", u1, right[3], script, 1.0] += 1
+        if right[2]:
+            if fresh:
+                seen["a", "", "", right[3], script, 1.0] += 1
+            u2, u1, fresh = u1, _context(right[2]), False
+    if u1 != "<s>":
+        seen["b", u2, u1, "", script, 1.0] += 1
+
+
 def _body(text: str, low: int, high: int) -> int:
     """Where the text of a block begins, behind its marker."""
     marker = _BULLET.match(text, low, high) or _NUMBER.match(text, low, high) or _TURN.match(text, low, high)
@@ -467,6 +639,16 @@ def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, entrie
                         c = r.kind.upper()
                         for k in ((c + "1", r.script, r.v1), (c + "0", r.script, _shape(r.v1)), (c, r.script)):
                             sums["\t".join(k)] += r.n
+                    elif r.kind in "abnw":
+                        for k, c in plain_events(r.kind, r.u2, r.u1, r.v1, r.script, r.n):
+                            sums[k] += c
+                    elif r.kind == "p":
+                        p = r.prior
+                        if model is not None:
+                            p = 1 / (1 + math.exp(-min(40.0, max(-40.0, model.plain_with_prior(r.u2, r.u1, r.v1, r.script, r.prior)))))
+                        for kind, share in (("b", p), ("a", p), ("n", 1 - p), ("w", 1 - p)):
+                            for k, c in plain_events(kind, r.u2, r.u1, r.v1, r.script, share * r.n):
+                                sums[k] += c
                     elif r.kind == "e":
                         sums["\t".join(("E1", r.u1, "1"))] += r.n
                         sums["\t".join(("E0", _shape(r.u1), "1"))] += r.n

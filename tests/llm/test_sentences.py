@@ -79,3 +79,50 @@ def test_rows(spark):
     assert sorted((r.doc_id or 0, r.sentence_no) for r in out) == [(0, 0), (1, 0), (1, 0), (1, 1), (1, 1), (4, 0)]
     assert all(r.sentence == r.sentence.strip() for r in out)
     assert sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The migration delays the tombstones The deny list delays the unread tail The packer retries the shell history once per hour", ["The migration delays the tombstones", "The deny list delays the unread tail", "The packer retries the shell history once per hour"]),
+        ("the migration delays the tombstones the deny list delays\nthe unread tail the packer retries the shell history once per hour", ["the migration delays the tombstones", "the deny list delays\nthe unread tail", "the packer retries the shell history once per hour"]),
+        ("the migration (the deny list delays the unread tail the packer retries the shell history) delays the tombstones", ["the migration (the deny list delays the unread tail the packer retries the shell history) delays the tombstones"]),
+        ("- The transcript reader rejects the last batch until the budget is spent", ["- The transcript reader rejects the last batch until the budget is spent"]),
+        ("要約は終了コードを飛ばしますログは空の節をまとめます", ["要約は終了コードを飛ばします", "ログは空の節をまとめます"]),
+        ("要約は終了コードを飛ばします ログは空の節をまとめます", ["要約は終了コードを飛ばします", "ログは空の節をまとめます"]),
+        ("缓存跳过了空白章节 游标合并了整个对话", ["缓存跳过了空白章节", "游标合并了整个对话"]),
+    ],
+)
+def test_without_end_marks(model, text, want):
+    assert [text[a:b] for a, b in sentences_of(text, model)] == want
+
+
+@pytest.mark.parametrize(
+    "known",
+    [
+        ["ແມວກິນປາຢູ່ເຮືອນ", "ໝານອນຢູ່ນອກບ້ານ", "ຂ້ອຍໄປຕະຫຼາດມື້ນີ້"],
+        ["ឆ្មាស៊ីត្រីនៅផ្ទះ", "ខ្ញុំទៅផ្សារថ្ងៃនេះ", "គាត់អានសៀវភៅ"],
+        ["ကြောင်ငါးစားသည်", "ငါဈေးသွားမည်", "သူစာဖတ်နေတယ်"],
+    ],
+)
+def test_scripts_without_marks_and_spaces(spark, known):
+    """Paragraphs of one sentence teach where sentences begin and end; those of several are then cut, with blanks or without."""
+    model = Model(train(spark.createDataFrame([(k,) for k in known * 30], "text string")))
+    for text in ("".join(known), " ".join(reversed(known))):
+        assert [text[a:b] for a, b in sentences_of(text, model)] == (known if " " not in text else known[::-1])
+
+
+def test_held_out_sentences_without_marks(spark, model):
+    """Sentences of other rows, their marks taken off, in one block: most of their borders must be found, and few others."""
+    found = wanted = got = 0
+    for r in table(spark, "/root/testdata/sf0.1", "documents").where("doc_id % 50 = 1 and lang in ('en', 'de', 'fr', 'es')").collect():
+        parts = [r.text[a:b].strip(".!? ") for low, high, whole in blocks(r.text or "") if not whole for a, b in sentences_of(r.text[low:high], model) for a, b in [(low + a, low + b)]]
+        parts = [p.lower() for p in parts if p.replace(" ", "").isalpha() and len(p.split()) > 3]
+        text, at, ends = " ".join(parts), 0, set()
+        for p in parts:
+            at += len(p)
+            ends.add(at)
+            at += 1
+        mine = {b for _, b in sentences_of(text, model)}
+        found, wanted, got = found + len(ends & mine), wanted + len(ends), got + len(mine)
+    assert wanted > 100 and found / wanted > 0.9 and found / got > 0.9
