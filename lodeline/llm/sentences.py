@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from lodeline.tables import cut, table
 
-#: Entries the model may have; it is broadcast, and this bounds it.
-MODEL_ENTRIES = 200_000
 ROUNDS = 3
 
 # Marks that end, close and open, and the layout of lines.
@@ -619,11 +617,11 @@ def window_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.col(text).alias("t")).mapInPandas(count, schema).groupBy(*_WINDOW).agg(F.sum("n").alias("n"))
 
 
-def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, entries: int = MODEL_ENTRIES) -> dict[str, float]:
+def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> dict[str, float]:
     """Counts of the hidden-event model, by expectation maximisation over the windows of all documents.
 
     The first round believes the marks and letter cases around a gap, later ones the model so far.
-    The most frequent ``entries`` n-grams come to the driver.
+    All n-grams come to the driver and are broadcast: as many as the documents' distinct windows tell, however rare.
     """
     windows = cut(window_counts(documents, text))
     counts: dict[str, float] | None = None
@@ -662,8 +660,8 @@ def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, entrie
 
         grams = windows.mapInPandas(expect, "k string, c double").groupBy("k").agg(F.sum("c").alias("c"))
         # Sums of doubles differ in their last digits with the order; rounding makes the model repeatable.
-        rows = grams.select("k", F.round("c", 4).alias("c")).orderBy(F.desc("c"), "k").limit(entries).collect()
-        counts = {r["k"]: r["c"] for r in rows}
+        kept = grams.select("k", F.round("c", 4).alias("c")).where("c > 0").toArrow()
+        counts = dict(zip(kept["k"].to_pylist(), kept["c"].to_pylist(), strict=True))
     return counts or {}
 
 

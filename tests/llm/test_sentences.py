@@ -126,3 +126,14 @@ def test_held_out_sentences_without_marks(spark, model):
         mine = {b for _, b in sentences_of(text, model)}
         found, wanted, got = found + len(ends & mine), wanted + len(ends), got + len(mine)
     assert wanted > 100 and found / wanted > 0.9 and found / got > 0.9
+
+
+def test_model_keeps_every_context_whole(spark):
+    """More n-grams than a bounded table once held: the rarest context still has both its outcomes."""
+    letters = "bcdfghjklm"
+    name = lambda i: "".join(letters[int(d)] for d in f"{i:05d}")
+    rows = [(f"The {name(i)}a runs {name(i)}o. It stops {name(i)}u now.",) for i in range(16_000)]
+    counts = train(spark.createDataFrame(rows, "text string"), rounds=1)
+    assert len(counts) > 200_000
+    ends = [k for k in counts if k.startswith("E1\t") and k.endswith("o.\t1")]
+    assert len(ends) == 16_000 and all(k[:-1] + "0" in counts for k in ends)
