@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import functools
+import itertools
 import re
 
 import pandas as pd
@@ -41,10 +42,10 @@ HEADS = (
     ("format", r"akia[0-9a-z]{4}|asia[0-9a-z]{4}|gh[pousr]_[a-z0-9]{4}|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|sg\.[a-z0-9_-]{4}|aiza[0-9a-z_-]{4}|npm_[a-z0-9]{4}|pypi-|hf_[a-z0-9]{4}|sk-[a-z0-9]{4}|eyj[a-z0-9_-]{4}"),
     ("armor", r"-----begin [a-z0-9 ]*private key"),
     ("connection", r"://[^\s/:@'\"<>]*:[^\s/@]"),
-    ("header", r"(bearer|basic)[ ]"),
-    ("option", r" -[pkuP]|sshpass"),
-    ("login", r"auth[ ]{0,1}=|identified by"),
-    ("key", f"({_KEYS.replace('_-]?', '_-]{0,1}').replace('s?', 's{0,1}')}|pw:|{_WORDS})"),
+    ("header", r"(bearer|basic)[ \t]"),
+    ("option", r"\s-[pkuaw]|sshpass"),
+    ("login", r"auth[ \t]*=|identified by"),
+    ("key", f"({_KEYS.replace('_-]?', '_-]{0,1}').replace('s?', 's{0,1}')}|pw|{_WORDS})"),
 )
 
 _QUOTE = r"(?P<q>\\?[\"'`]?)"
@@ -136,7 +137,10 @@ def spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Of each text, the disjoint (start, end, kind) of its credentials in order."""
     found: list[dict[tuple[int, int], str]] = [{} for _ in texts]
     done: dict[tuple[int, str], int] = {}
-    for no, end, bits in _automaton().run(texts):
+    # an option has a blank before it, but for one that begins the text
+    option = 1 << [head for head, _ in HEADS].index("option")
+    first = ((no, 2, option) for no, text in enumerate(texts) if text.startswith("-u"))
+    for no, end, bits in itertools.chain(first, _automaton().run(texts)):
         text = texts[no]
         for k, (head, _) in enumerate(HEADS):
             if not bits >> k & 1:

@@ -2,7 +2,7 @@ import re
 
 import pytest
 from lodeline.llm.automaton import CHUNK, Automaton
-from lodeline.llm.credentials import credentials, redact_credentials, redacted, spans
+from lodeline.llm.credentials import _CONTEXTS, credentials, redact_credentials, redacted, spans
 
 HEX = "9f40a0f717f290ba03fef662426041"
 KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 200 + "\n-----END RSA PRIVATE KEY-----"
@@ -73,3 +73,38 @@ def test_rows(spark):
     out = redact_credentials(df).collect()
     assert len(out) == 5 and sorted(r.n_found for r in out) == [0, 0, 1, 2, 2] and any(r.text is None for r in out)
     assert credentials(df.limit(0)).count() == 0 and redact_credentials(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("head", "pattern", "text", "want"),
+    [
+        ("key", 0, "pw=abc123def4", "abc123def4"),
+        ("key", 1, "tool --pw abc123def4", "abc123def4"),
+        ("key", 2, "the pw is hulzor!9341", "hulzor!9341"),
+        ("key", 3, "密码是hulzor!9341", "hulzor!9341"),
+        ("connection", 0, "amqp://svc:Ventas.841_@mq", "Ventas.841_"),
+        ("header", 0, "Authorization: Bearer\tfenvendru_7697", "fenvendru_7697"),
+        ("header", 1, "Authorization: Basic\tZGVwbG95OkxvcGVsJTcwNDc=", "ZGVwbG95OkxvcGVsJTcwNDc="),
+        ("header", 2, "a bearer\tfenvendru_7697", "fenvendru_7697"),
+        ("option", 0, "curl\t-u ci:Kawex-1621", "Kawex-1621"),
+        ("option", 0, "-u ci:Kawex-1621 https://x", "Kawex-1621"),
+        ("option", 0, "curl x \\\n-u ci:Kawex-1621", "Kawex-1621"),
+        ("option", 1, "sshpass -p Kawex-1621 ssh h", "Kawex-1621"),
+        ("option", 2, "mysqldump\t-pVentas.841_ app", "Ventas.841_"),
+        ("option", 3, "7z x a.7z -PVentas.841_", "Ventas.841_"),
+        ("option", 4, "openssl enc -k Ventas.841_", "Ventas.841_"),
+        ("option", 5, "redis-cli -h x -a Hulzor!9341", "Hulzor!9341"),
+        ("option", 5, "ldapsearch -x -w secret9x", "secret9x"),
+        ("option", 5, "sqlcmd -S h -P Hulzor!9341", "Hulzor!9341"),
+        ("login", 0, "auth  = ('ci', 'Kawex-1621')", "Kawex-1621"),
+        ("login", 1, "create user u identified by 'Kawex-1621'", "Kawex-1621"),
+    ],
+)
+def test_every_context_is_reached_by_its_head(head, pattern, text, want):
+    assert _CONTEXTS[head][pattern][0].search(text)
+    assert found(text) == [want]
+
+
+def test_contexts_tested_are_all():
+    tested = {m[:2] for m in test_every_context_is_reached_by_its_head.pytestmark[0].args[1]}
+    assert tested == {(head, i) for head, patterns in _CONTEXTS.items() for i in range(len(patterns))}
