@@ -64,10 +64,9 @@ class RangeMax:
 def pieces(text: str, max_size: int, overlap: int, unit: str) -> list[tuple[int, int]]:
     """Positions (start, end) of the pieces of ``text``, each within ``max_size`` of ``unit`` ('chars' or 'bytes').
 
-    Each cut is the strongest one, the rightmost of equals, in the last two thirds of the permissible
-    window, or in all of it if those hold no natural boundary; the next piece starts ``overlap``
-    earlier (in bytes, at the first whole character within ``overlap``). A single character larger
-    than ``max_size`` is a piece of its own.
+    Each cut is the strongest one, the rightmost of equals, in the whole permissible window; the next
+    piece starts ``overlap`` earlier (in bytes, at the first whole character within ``overlap``). A
+    single character larger than ``max_size`` is a piece of its own.
     """
     n = len(text)
     if unit == "bytes":
@@ -90,9 +89,7 @@ def pieces(text: str, max_size: int, overlap: int, unit: str) -> list[tuple[int,
         least = max(int(np.searchsorted(size, size[start] + overlap, side="right")), start + 1, reached + 1)
         last = max(last, reached + 1, start + 1)
         least = min(least, last)
-        end = best.query(min(max(int(np.searchsorted(size, size[start] + max_size // 3)), least), last), last)
-        if strength[end] <= 1:
-            end = best.query(least, last)
+        end = best.query(least, last)
         out.append((start, end))
         if end == n:
             return out

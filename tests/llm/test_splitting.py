@@ -66,3 +66,11 @@ def test_sql(spark, folder, name):
     for p in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
     assert sorted(con.execute(queries.SQL[name]).fetchall()) == sorted(tuple(r) for r in queries.QUERIES[name](spark, folder).select("item_set", "item_key").collect())
+
+
+@pytest.mark.parametrize("unit", ["chars", "bytes"])
+def test_a_strong_boundary_early_in_the_window_wins(unit):
+    """A blank line in the first third isn't lost to a plain blank later."""
+    text = "one two\n\n" + "three four five " * 10
+    (a, b), (c, d), *_ = pieces(text, 60, 0, unit)
+    assert (a, text[a:b]) == (0, "one two\n\n") and c == b and d - c <= 60
