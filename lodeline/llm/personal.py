@@ -70,6 +70,9 @@ _NAMES = (
 _TITLED = re.compile(rf"{_TITLE}\.? ")
 #: Capitalised words of prose that begin no name.
 _NO_NAME = re.compile(r"(?:The|A|An|This|That|These|It|If|When|On|In|At|After|Before|Once|During|Under|Our|My|Please|Der|Die|Das|Ein|Eine|La|Le|Les|El|Los|Las|Un|Une|Q|I|Signed|Reported|Hook|Cursor|Index|Lock|Budget|Log|Error|Timeout|Overflow)\b")
+#: Those of them that are no name behind a title either.
+_NO_NAME_TITLED = re.compile(_NO_NAME.pattern.replace("|Hook|Cursor|Index|Lock|Budget|Log|Error|Timeout|Overflow", ""))
+_BEHIND_TITLE = re.compile(rf"(?<![^\W\d_]){_TITLE}\.? \Z")
 
 
 _LONE = re.compile(rf"[{_UP}] ")
@@ -158,10 +161,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             start, end = m.span("n")
             if title := _TITLED.match(text, start, end):
                 start = title.end()
+            no_name = _NO_NAME_TITLED if title or _BEHIND_TITLE.search(text, max(0, start - 12), start) else _NO_NAME
             # words of prose, and a lone letter, that happen to stand before a name
-            while (skipped := _NO_NAME.match(text, start, end) or _LONE.match(text, start, end)) and (after := text.find(" ", skipped.start(), end)) > 0 and " " in text[after + 1 : end]:
+            while (skipped := no_name.match(text, start, end) or _LONE.match(text, start, end)) and (after := text.find(" ", skipped.start(), end)) > 0 and " " in text[after + 1 : end]:
                 start = after + 1
-            if not _NO_NAME.match(text, start, end):
+            if not no_name.match(text, start, end):
                 found.append((0.8, start, end, "name"))
     found.sort(key=lambda f: (-f[0], f[1] - f[2], f[1]))
     kept: list[tuple[int, int, str]] = []

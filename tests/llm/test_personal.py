@@ -45,3 +45,8 @@ def test_rows(spark):
     assert out["1"] == "<EMAIL> <EMAIL>" and out["2"] is None and out["3"] == "" and out["4"].endswith("mail <EMAIL>")
     assert personal_data(df.limit(0)).count() == 0
     assert replaced("ab", [(0, 1, "name")]) == "<NAME>b"
+
+
+@pytest.mark.parametrize(("text", "want"), [("please ask Mr. Lock today", ["Lock"]), ("reviewed by Dr. Budget", ["Budget"]), ("Reviewer: Frau Hook Meier", ["Hook Meier"]), ("asked by Index today", []), ("Hook reported a failure", [])])
+def test_titled_subject_words_are_names(text, want):
+    assert [text[a:b] for a, b, kind in spans(text) if kind == "name"] == want
