@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.times import ZONE, offset_ms, stripped, wall_ms
-from lodeline.tables import cut, table
+from lodeline.tables import kept_in_order, table
 
 EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
 #: Milliseconds of 2000-01-01 and 2101-01-01: an epoch count must lie between them in its unit.
@@ -189,7 +189,7 @@ def choose(records: DataFrame, rules: Rules = Rules(), partitions: int | None =
     """
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut(
+    blocks = kept_in_order(
         records.select(
             F.coalesce("source", F.lit("")).alias("source"), "ord", F.col("key").cast("string").alias("key"),
             F.col("readings")["fmt"].alias("fmts"), F.col("readings")["instant_ms"].alias("ms"), F.col("readings")["cost"].alias("costs"),

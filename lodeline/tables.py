@@ -2,30 +2,76 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: dict[str, SparkSession] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame, iterated: bool = False) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, as it is named; a local session that names none gets its own.
 
-    A reliable checkpoint outlives lost executors. The folder is the one named by
-    ``spark.checkpoint.dir``; only a session that names none (local tests) gets its own.
-    A checkpoint keeps the size Spark guessed for its plan, and guesses of joins multiply; ``iterated``
-    leaves the guess behind, as loops need it.
+    A cluster must name one: a folder of the driver's own disk isn't seen by its executors.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lodeline-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, *replaces: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: without lineage, with its real size.
+
+    A lost executor costs nothing that is written. The tables ``replaces``, earlier cuts that nothing
+    reads any more, are deleted; what is left goes when the program ends. The order of rows isn't kept.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lodeline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _OPEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    discard(*replaces)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes cut tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_cut_at", None)
+        if path in _OPEN:
+            _delete(_OPEN.pop(path), path)
+
+
+def kept_in_order(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df``: its lineage is cut, its partitions and the order in them stay."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeline-"))
-    kept = df.checkpoint(eager=True)
-    if not iterated:
-        return kept
-    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in list(_OPEN.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return
