@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.times import with_instant
 from lodeline.llm.components import components
-from lodeline.tables import cut, table
+from lodeline.tables import cut, discard, table
 
 #: Sessions of more lines are ordered by pointer doubling instead of within one task.
 MAX_LINES = 100_000
@@ -57,16 +57,18 @@ def sound_sessions(lines: DataFrame) -> DataFrame:
     """``lines`` of the sessions in which every named parent exists and no parents run in a circle; adds ``component``.
 
     Conversations are the connected components of the reply links. A component of a forest has one
-    link less than it has lines; one with as many links as lines holds a circle.
+    link less than it has lines; one with as many links as lines holds a circle. Links are put next to
+    each other by session and line before they are linked, a session of many lines over many tasks.
     """
-    node = lines.withColumn("_node", _node("session_id", "uuid")).withColumn("_parent", F.when(F.col("parent_uuid").isNotNull(), _node("session_id", "parent_uuid")))
-    links = node.where("_parent is not null").select(F.col("_node").alias("a"), F.col("_parent").alias("b"))
+    columns = [c for c in lines.columns if c not in ("_node", "_parent")]
+    node = lines.select(*columns, _node("session_id", "uuid").alias("_node"), F.when(F.col("parent_uuid").isNotNull(), _node("session_id", "parent_uuid")).alias("_parent"))
+    links = node.where("_parent is not null").repartitionByRange("session_id", "line_no").select(F.col("_node").alias("a"), F.col("_parent").alias("b"))
     lost = (
         node.where("_parent is not null").select("session_id", "_parent")
-        .join(node.select("_node"), F.col("_parent") == F.col("_node"), "left_anti").select("session_id")
+        .join(node.select(F.col("_node").alias("_parent")), "_parent", "left_anti").select("session_id")
     )
     found = components(node, links, "_node")
-    with_component = cut(node.join(found, "_node").drop("_node", "_parent"))
+    with_component = cut(node.join(found, "_node").drop("_node", "_parent"), found)
     circles = with_component.groupBy("session_id", "component").agg(F.count(F.lit(1)).alias("n"), F.count("parent_uuid").alias("links")).where("links >= n").select("session_id")
     return with_component.join(lost.unionByName(circles).distinct(), "session_id", "left_anti")
 
@@ -126,26 +128,26 @@ def _ordered_large(lines: DataFrame) -> DataFrame:
     """
     key = ["session_id", "uuid"]
     rank = F.struct(F.col("at_ms").isNotNull(), F.coalesce("at_ms", F.lit(0)), F.coalesce("line_no", F.lit(0)), "uuid")
-    nodes = cut(lines.select(*key, "parent_uuid", "role", rank.alias("rank")), iterated=True)
-    jumps = [cut(nodes.select(*key, F.col("parent_uuid").alias("up"), F.when(F.col("parent_uuid").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), iterated=True)]
+    nodes = cut(lines.select(*key, "parent_uuid", "role", rank.alias("rank")))
+    jumps = [cut(nodes.select(*key, F.col("parent_uuid").alias("up"), F.when(F.col("parent_uuid").isNull(), 0).otherwise(1).cast("bigint").alias("depth")))]
     while not jumps[-1].where("up is not null").isEmpty():
         above = jumps[-1].select("session_id", F.col("uuid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        jumps.append(cut(jumps[-1].join(above, ["session_id", "up"], "left").select(*key, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), iterated=True))
+        jumps.append(cut(jumps[-1].join(above, ["session_id", "up"], "left").select(*key, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))))
     on_path, scope = None, nodes
     while True:
-        tops = cut(scope.groupBy("session_id").agg(F.max("rank").alias("rank")).select("session_id", F.col("rank.uuid").alias("uuid")), iterated=True)
+        tops = cut(scope.groupBy("session_id").agg(F.max("rank").alias("rank")).select("session_id", F.col("rank.uuid").alias("uuid")))
         if tops.isEmpty():
             break
         marks = tops
         for jump in jumps:
             up = jump.join(marks, key).where("up is not null").select("session_id", F.col("up").alias("uuid"))
-            marks = cut(marks.unionByName(up).distinct(), iterated=True)
-        on_path = marks if on_path is None else cut(on_path.unionByName(marks).distinct(), iterated=True)
-        below = cut(nodes.select(*key, "parent_uuid").join(tops.select("session_id", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("under")), ["session_id", "parent_uuid"], "left").select(*key, F.coalesce("under", F.lit(False)).alias("under")), iterated=True)
+            marks = cut(marks.unionByName(up).distinct(), *([marks] if marks is not tops else []))
+        on_path = marks if on_path is None else cut(on_path.unionByName(marks).distinct(), on_path, marks)
+        below = cut(nodes.select(*key, "parent_uuid").join(tops.select("session_id", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("under")), ["session_id", "parent_uuid"], "left").select(*key, F.coalesce("under", F.lit(False)).alias("under")))
         for jump in jumps[:-1]:
             higher = below.select("session_id", F.col("uuid").alias("up"), F.col("under").alias("_under"))
-            below = cut(below.join(jump.select(*key, "up"), key).join(higher, ["session_id", "up"], "left").select(*key, (F.col("under") | F.coalesce("_under", F.lit(False))).alias("under")), iterated=True)
-        scope = cut(nodes.join(below.where("under").select(*key), key), iterated=True)
+            below = cut(below.join(jump.select(*key, "up"), key).join(higher, ["session_id", "up"], "left").select(*key, (F.col("under") | F.coalesce("_under", F.lit(False))).alias("under")), below)
+        scope = cut(nodes.join(below.where("under").select(*key), key), below, tops, *([scope] if scope is not nodes else []))
     if on_path is None:
         return nodes.select(*key, F.lit(0).cast("bigint").alias("step"), "role").limit(0)
     return on_path.join(jumps[-1].select(*key, F.col("depth").alias("step")), key).join(nodes.select(*key, "role"), key).select(*key, "step", "role")
@@ -161,7 +163,8 @@ def conversations(lines: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     once, empty tables give no rows, other columns aren't read.
     """
     kept = cut(message_lines(lines))
-    sound = cut(sound_sessions(kept.drop("text")))
+    checked = sound_sessions(kept.drop("text"))
+    sound = cut(checked.drop("component"))
     large = cut(sound.groupBy("session_id").count().where(F.col("count") > max_lines).select("session_id"))
     if large.isEmpty():
         ordered = _ordered_small(sound)
@@ -170,11 +173,12 @@ def conversations(lines: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     said = cut(ordered.where("role is not null"))
     # Counted per session without ordering it in one task: a user step is answered if the next message step after it is an assistant's.
     numbered = _numbered(said)
+    asked = cut(said.where("role = 'user'").select("session_id").distinct(), sound, large)
     following = numbered.select("session_id", (F.col("msg_no") - 1).alias("msg_no"), F.col("role").alias("next_role"))
     judged = numbered.join(following, ["session_id", "msg_no"], "left")
     bad = judged.where("role = 'user' and coalesce(next_role, 'user') = 'user'").select("session_id").distinct()
-    asked = said.where("role = 'user'").select("session_id").distinct()
     good = numbered.join(asked, "session_id", "left_semi").join(bad, "session_id", "left_anti")
+    discard(said)
     return good.join(kept.select("session_id", "uuid", "text"), ["session_id", "uuid"]).select("session_id", "msg_no", "uuid", "role", "text")
 
 

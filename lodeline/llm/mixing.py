@@ -9,19 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.tokens import token_ids
+from lodeline.llm.tokens import token_counts
 from lodeline.tables import cut, table
 
 #: Documents of one source are rounded in bins of about so many.
 BIN_DOCUMENTS = 20_000
 
 
-def token_counts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens) of every document."""
-    counted = token_ids(documents, id_column, text, path).select(F.col(id_column).alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"))
-    return counted.join(documents.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source")).distinct(), "doc_id")
-
-
 def solve(histogram: DataFrame, targets: list, total_tokens: int | None = None, tolerance: float = 1e-10, rounds: int = 60) -> list[tuple]:
     """(source, goal, rate, tilt, mean, cap) of each usable source, from (source, n_tokens, n) and (source, target_share, max_repeats).
 
@@ -30,6 +24,7 @@ def solve(histogram: DataFrame, targets: list, total_tokens: int | None = None,
     The dual is convex and falls apart by source; each Newton round is one aggregation over the
     histogram, from which two sums per source come back, and is kept inside a bracket by bisection.
     The total is the largest for which every source can meet its share, or ``total_tokens`` if smaller.
+    Raises ArithmeticError where a source is still off by more than a millionth after ``rounds`` rounds.
     """
     spark = histogram.sparkSession
     sizes = {r[0]: (r[1], r[2]) for r in histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")), F.sum("n")).collect()}
@@ -58,7 +53,7 @@ def solve(histogram: DataFrame, targets: list, total_tokens: int | None = None,
         )
         for source, got, slope in sums.collect():
             v = state[source]
-            miss = v["goal"] - got
+            v["miss"] = miss = v["goal"] - got
             if abs(miss) <= tolerance * v["goal"]:
                 v["done"] = True
                 continue
@@ -67,6 +62,8 @@ def solve(histogram: DataFrame, targets: list, total_tokens: int | None = None,
             if not v["low"] < step < v["high"]:
                 step = (v["low"] + v["high"]) / 2 if math.isfinite(v["low"] + v["high"]) else v["tilt"] * 2 + math.copysign(1, miss)
             v["tilt"] = step
+    if missed := [s for s, v in state.items() if not v["done"] and abs(v.get("miss", math.inf)) > 1e-6 * v["goal"]]:
+        raise ArithmeticError(f"no tilt found in {rounds} rounds for {missed}")
     return [(s, v["goal"], v["tilt"], v["mean"], v["cap"]) for s, v in state.items()]
 
 

@@ -21,6 +21,8 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HEAD_WORDS = 20_000
 #: Longest word that is broadcast, in characters; with HEAD_WORDS it bounds the broadcast to a few MB.
 HEAD_CHARS = 32
+#: Tasks over which the occurrences of a frequent longer word are spread.
+SALTS = 64
 
 
 @functools.cache
@@ -32,15 +34,10 @@ def _tokenizer(path: str):
     return t
 
 
-def _words(documents: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, words): the words of each text in order; none for empty and null texts."""
-    return documents.select(F.col(id_column).alias("_id"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), F.lit(0)).alias("_words"))
-
-
-def word_table(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def word_table(documents: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """(word, n, ids): every distinct word of all documents, how often it occurs, and its ids. Each is encoded once."""
     path = path or f"{FOLDER}/{BYTE_BPE}"
-    counts = _words(documents, id_column, text).select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = documents.select(F.explode(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     @F.pandas_udf("array<int>")
     def encode(words: pd.Series) -> pd.Series:
@@ -50,34 +47,61 @@ def word_table(documents: DataFrame, id_column: str = "doc_id", text: str = "tex
     return counts.select("word", "n", encode("word").alias("ids"))
 
 
+def _placed(documents: DataFrame, columns: list[str], text: str, path: str | None) -> tuple[DataFrame, DataFrame]:
+    """(columns, _pos, _ids) of the words of ``text``, each with the ids of its word: those found by broadcast, and the others.
+
+    Frequent words, of which there can be at most ``HEAD_WORDS``, are broadcast if they are short. Frequent
+    longer ones are known by their hashes, of which there are no more, and spread over ``SALTS``
+    tasks. No other word is frequent enough to be hot. A text without words gives one row without ids.
+    """
+    named = documents.select(*columns, F.col(text).alias("_text"))
+    table_ = cut(word_table(named, text="_text", path=path))
+    total = table_.agg(F.sum("n")).first()[0] or 0
+    frequent, short = F.col("n") * HEAD_WORDS >= total, F.length("word") <= HEAD_CHARS
+    head = table_.where(frequent & short).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
+    hot = F.broadcast(table_.where(frequent & ~short).select(F.xxhash64("word").alias("_hash")).distinct().withColumn("_hot", F.lit(True)))
+    tail = table_.where(~(frequent & short)).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"), F.xxhash64("word").alias("_hash")).join(hot, "_hash", "left")
+    tail = tail.select("_word", "_ids", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    words = F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(WORDS), F.lit(0))
+    placed = named.select(*columns, F.posexplode_outer(words).alias("_pos", "_word"))
+    near = placed.join(F.broadcast(head), "_word", "left")
+    known = near.where("_ids is not null or _word is null").select(*columns, "_pos", "_ids")
+    rare = near.where("_ids is null and _word is not null").select(*columns, "_pos", "_word").withColumn("_hash", F.xxhash64("_word")).join(hot, "_hash", "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns, "_pos"), F.lit(SALTS)).cast("int")).otherwise(0)
+    found = rare.select(*columns, "_pos", "_word", salt.alias("_salt")).join(tail, ["_word", "_salt"]).select(*columns, "_pos", "_ids")
+    return known, found
+
+
 def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id_column, ids): the token ids of each document's whole text, without special tokens.
 
     Empty and null texts get an empty list. Strings that look like special tokens are ordinary text.
     Texts are split into words by Spark, every distinct word is encoded once, and the ids are joined
-    back by position: frequent words, of which there can be at most ``HEAD_WORDS``, by broadcast, so
-    that no hot word is shuffled; all others by a shuffled join, in which none is frequent enough to
-    be hot. Rows that repeat an id with the same text give one row; an id with several texts
+    back by position. Rows that repeat an id with the same text give one row; an id with several texts
     has no defined order of texts and must not occur; a null id is one document. Other columns
     aren't read.
     """
-    table_ = cut(word_table(documents, id_column, text, path))
-    total = table_.agg(F.sum("n")).first()[0] or 0
-    is_head = (F.col("n") * HEAD_WORDS >= total) & (F.length("word") <= HEAD_CHARS)
-    head = table_.where(is_head).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    tail = table_.where(~is_head).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    split = _words(documents, id_column, text)
-    placed = split.select("_id", F.posexplode_outer("_words").alias("_pos", "_word"))
-    near = placed.join(F.broadcast(head), "_word", "left")
-    known = near.where("_ids is not null or _word is null").select("_id", "_pos", "_ids")
-    rare = near.where("_ids is null and _word is not null").select("_id", "_pos", "_word").join(tail, "_word").select("_id", "_pos", "_ids")
-    gathered = known.unionByName(rare).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_rows"))
+    known, found = _placed(documents.select(F.col(id_column).alias("_id"), F.col(text).alias("_t")), ["_id"], "_t", path)
+    gathered = known.unionByName(found).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_rows"))
     # Repeated rows of a document bring each position several times, next to each other.
     once = F.filter("_rows", lambda r, i: (i == 0) | (F.get(F.col("_rows"), i - 1)["_pos"] != r["_pos"]))
     listed = gathered.select("_id", F.transform(once, lambda r: r["_ids"]).alias("_lists"))
     return listed.select(F.col("_id").alias(id_column), F.flatten(F.filter("_lists", lambda x: x.isNotNull())).alias("ids"))
 
 
+def token_counts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens) of every document, by the same table of words: lengths are summed before they are shuffled, no ids are built.
+
+    Rows that repeat an id and source count once; empty and null texts have 0 tokens; other columns aren't read.
+    """
+    columns = ["doc_id", "source"]
+    named = documents.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_t"))
+    known, found = _placed(named, columns, "_t", path)
+    copies = F.greatest(F.count(F.when(F.coalesce("_pos", F.lit(0)) == 0, 1)), F.lit(1))
+    sums = known.unionByName(found).groupBy(*columns).agg(F.sum(F.coalesce(F.size("_ids"), F.lit(0)).cast("bigint")).alias("_n"), copies.alias("_copies"))
+    return sums.select(*columns, (F.greatest("_n", F.lit(0)) / F.col("_copies")).cast("bigint").alias("n_tokens"))
+
+
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(id, piece): the bytes of each id in hexadecimal digits; as many rows as the vocabulary has."""
     with open(path or f"{FOLDER}/{BYTE_BPE}") as f:

@@ -1,6 +1,4 @@
-import pytest
-from lodeline.llm.mixing import mix
-from lodeline.llm.tokens import BYTE_BPE, FOLDER, _tokenizer, decoded, token_ids
+from lodeline.llm.tokens import BYTE_BPE, FOLDER, _tokenizer, decoded, token_counts, token_ids
 
 TEXTS = ["", None, "Hello  world\n\n x", "it's we'll 'S <|endoftext|>", "   ", "ÅÅ naı̈ve Ⅳ 𝒙𝒚 👩‍💻👍🏽​ a\x85b  c", "a" * 3000, "字" * 500 + " 12345 \r\n\t", "x " * 4000]
 
@@ -17,26 +15,14 @@ def test_ids_equal_the_tokenizer_and_come_back(spark):
     assert token_ids(df.limit(0)).count() == 0
 
 
-def test_shares(spark):
-    counts = [(i, "a", 10 + i % 7) for i in range(300)] + [(1000 + i, "b", 30) for i in range(20)] + [(2000, "c", 5), (3000, None, 9), (4000, "a", 0)]
-    df = spark.createDataFrame(counts, "doc_id bigint, source string, n_tokens bigint")
-    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.2, 3), ("none", 0.1, 2), (None, 0.5, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
-    chosen, report = mix(df, targets)
-    shares = {r.source: r for r in report.collect()}
-    assert set(shares) == {"a", "b", "none"}
-    assert shares["a"].actual_share == pytest.approx(7 / 9, abs=0.005) and shares["b"].actual_share == pytest.approx(2 / 9, abs=0.005)
-    assert shares["none"].actual_share == 0 and shares["a"].most_repeats <= 2 and shares["b"].most_repeats <= 3
-    rows = chosen.collect()
-    assert all(r.copies >= 1 and r.source in "ab" and r.n_tokens > 0 for r in rows)
-    assert sum(r.copies * r.n_tokens for r in rows) == sum(r.mixed_tokens for r in shares.values())
-    assert {(r.doc_id, r.copies) for r in rows} == {(r.doc_id, r.copies) for r in mix(df, targets)[0].collect()}
-    small, _ = mix(df, targets, total_tokens=900)
-    assert sum(r.copies * r.n_tokens for r in small.collect()) == pytest.approx(900, rel=0.03)
-
-
-def test_empty_mix(spark):
-    df = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint")
-    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
-    chosen, report = mix(df, targets)
-    assert chosen.count() == 0 and [r.actual_share for r in report.collect()] == [0.0]
-    assert mix(df, targets.limit(0))[0].count() == 0
+def test_hot_words_of_any_length_and_counts(spark):
+    """A rule of 400 dashes that is more than half of all words is spread, not sent to one task; counts are lengths of ids."""
+    rule = "-" * 400
+    rows = [(i, f"{rule} word{i}\n{rule}", "a") for i in range(300)] + [(1, f"{rule} word1\n{rule}", "a"), (900, None, None), (901, "", "b"), (None, "one", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    t = _tokenizer(f"{FOLDER}/{BYTE_BPE}")
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x, _ in rows}
+    assert {r.doc_id: r.ids for r in token_ids(df).collect()} == want
+    counts = token_counts(df).collect()
+    assert len(counts) == len(want) and {r.doc_id: r.n_tokens for r in counts} == {i: len(x) for i, x in want.items()}
+    assert token_counts(df.limit(0)).count() == 0
