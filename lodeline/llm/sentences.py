@@ -7,7 +7,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +67,9 @@ _UNIT = re.compile(
 _IS_LETTER = re.compile(f"[{_LETTERS}]")
 _HAS_THAI = re.compile(f"[{_THAI}]")
 _ENDED = re.compile(rf"[{re.escape(_ENDS)}](?:[{_BLANKS}]|[{re.escape(_CLOSERS)}])*\Z")
+_BLANK_RUN = re.compile(f"[{re.escape(_STRIP)}]+")
+_MARKER = re.compile(r"\s*(?:[-*+•]|\d+[.)]|[QA]:)")
+_DAY = re.compile(r"\d{1,2}\.")
 _JOINS = ",;:，、；：—–-(（[【"
 _JOINED = ",;:，、；：—–-(（[【”’»›」』）)]】》〉"
 
@@ -167,31 +169,46 @@ def _shape(token: str) -> str:
     return ("q" if token[0] in _OPENERS else "") + kind + tail
 
 
+#: A word of more characters is one unknown word of its own, whatever it is.
+LONG = 40
+_MARKS_ONLY = frozenset(_ENDS + _CLOSERS)
+
+
 def _left(text: str, low: int, end: int) -> str:
     """The word that ends at ``end``: of spaced scripts the whole, of others the last letter and the marks."""
     start = end
-    while start > low and text[start - 1] not in _STRIP:
+    while start > low and text[start - 1] not in _STRIP and end - start <= LONG:
         start -= 1
-        if end - start > 40:
-            break
-    token = text[start:end]
+    return _left_word(text[start:end])
+
+
+@functools.lru_cache(200_000)
+def _left_word(token: str) -> str:
+    tail = len(token)
+    while tail and token[tail - 1] in _MARKS_ONLY:
+        tail -= 1
     m = _CANDIDATE.search(token)
     first = m.start() if m else len(token)
-    tail = re.search(rf"[{re.escape(_ENDS + _CLOSERS)}]*$", token).start()
     if tail and _IS_CJK.match(token[tail - 1]) or first and _IS_CJK.match(token[first - 1]) and not token.isascii():
         return token[max(0, tail - 1) :]
+    if len(token) > LONG:
+        return "LONG" + token[tail:]
     token = _norm(token)
     return token if token[:1].isupper() and len(token) <= 2 else token.lower() if not token.startswith("PATH") else token
 
 
 def _right(text: str, start: int, high: int) -> str:
-    m = _TOKEN.match(text, start, min(high, start + 40))
-    if not m:
-        return "</b>"
-    token = m[0]
+    m = _TOKEN.match(text, start, min(high, start + LONG + 1))
+    return _right_word(m[0]) if m else "</b>"
+
+
+@functools.lru_cache(200_000)
+def _right_word(token: str) -> str:
     core = _CORE.match(token)[1]
     if core and _IS_CJK.match(core[0]):
         return token[: token.index(core) + 2]
+    if len(token) > LONG:
+        return "LONG"
     token = _norm(token)
     return token if token.startswith("PATH") else token.rstrip(_ENDS + ",;:)»”\"'") or token
 
@@ -246,13 +263,13 @@ def _plain_script(text: str, low: int, high: int) -> str:
 
 def _plain_gaps(text: str, low: int, high: int, taken: set[int]) -> list[Gap]:
     """Every gap between words (letters, in scripts without spaces) but those ``taken``; the model decides."""
-    found, script = units(text, low, high), _plain_script(text, low, high)
+    found, script, body = units(text, low, high), _plain_script(text, low, high), text[low:high]
     closed = []
-    for a, b in _quote_spans(text[low:high]):
+    for a, b in _quote_spans(body):
         at = low + a - 1
         while at >= low and text[at] in _STRIP:
             at -= 1
-        if text[low + a] in "(（" or at >= low and text[at] not in _ENDS + _CLOSERS + _OPENERS or _goes_on(text[low:high], b + 1):
+        if text[low + a] in "(（" or at >= low and text[at] not in _ENDS + _CLOSERS + _OPENERS or _goes_on(body, b + 1):
             closed.append((low + a, low + b))
     out, i, until = [], 0, low
     u2 = "<s>"
@@ -294,9 +311,9 @@ def _mark_gaps(text: str, low: int, high: int) -> list[Gap]:
             continue
         mark, before = m[0], body[max(0, m.start() - 1) : m.start()]
         spaced = body[end] in _STRIP
-        # a closing mark that opens what follows doesn't belong here
-        while not spaced and end > m.start() + 1 and mark and body[end - 1] in "\"'“‘*_`" and not _IS_CJK.match(body[end]):
-            break
+        # Between scripts without spaces these marks always open what follows.
+        while not spaced and end > m.start() + 1 and body[end - 1] in "“‘" and _IS_CJK.match(body[end]):
+            end -= 1
         if not spaced:
             wide = mark[0] in _WIDE_ENDS or mark[0] in "…‥" and bool(_IS_CJK.match(body[end])) or mark[0] in "?!" and bool(_IS_CJK.match(before or " ")) and bool(_IS_CJK.match(body[end]))
             if not wide:
@@ -309,27 +326,60 @@ def _mark_gaps(text: str, low: int, high: int) -> list[Gap]:
             found.setdefault(end, (end, start, None))
     if not found:
         return []
-    out = []
+    out, quotes = [], None
+    blanks = [m.span() for m in _BLANK_RUN.finditer(body)]
+    i = -1
     for end in sorted(found):
         _, start, fixed = found[end]
         here, after = low + end, low + start
         u1 = _left(text, low, here)
-        at = here - len(u1)
-        while at > low and text[at - 1] not in _STRIP:
-            at -= 1
-        while at > low and text[at - 1] in _STRIP:
-            at -= 1
+        while i + 1 < len(blanks) and blanks[i + 1][1] <= end - len(u1):
+            i += 1
+        at = low + blanks[i][0] if i >= 0 else low
         u2 = _left(text, low, at) if at > low else "<b>"
         v1 = _right(text, after, high)
         prior = fixed
         if prior is None:
-            if spans is None:
-                spans = _quote_spans(body)
-            prior = _prior(body, end, start, spans)
+            quotes = quotes or _Quotes(body)
+            prior = _prior(body, end, start, quotes)
         out.append(Gap(here, after, u2, u1, v1, prior))
     return out
 
 
+class _Quotes:
+    """The quotations and brackets of a block: which ones nothing is split in, and where each begins by where it ends."""
+
+    def __init__(self, body: str):
+        spans = _quote_spans(body)
+        self.first = len(body) - len(body.lstrip(_STRIP))
+        self.opened = {b: a for a, b in spans}
+        self.whole = []
+        for a, b in spans:
+            before = self.before(body, a, _STRIP + _OPENERS)
+            fresh = not before or before[-1] in _ENDS + _CLOSERS or bool(_MARKER.fullmatch(before))
+            if not fresh or body[a] in "(（" or _goes_on(body, b + 1):
+                self.whole.append((a, b))
+        self.at, self.until = 0, -1
+
+    def before(self, body: str, at: int, skipped: str) -> str:
+        """What stands before ``at`` without the ``skipped`` characters at its end, as far back as a marker may be long."""
+        while at > 0 and body[at - 1] in skipped:
+            at -= 1
+        return body[self.first : at] if at - self.first < 16 else body[at - 16 : at]
+
+    def within(self, end: int) -> bool:
+        """Whether ``end`` lies in a quotation that is never split; asked in rising order."""
+        while self.at < len(self.whole) and self.whole[self.at][0] < end:
+            self.until = max(self.until, self.whole[self.at][1])
+            self.at += 1
+        return end <= self.until
+
+    def closed_before(self, end: int) -> int | None:
+        """Where the quotation began that closed within the last three characters."""
+        found = [self.opened[p] for p in range(max(0, end - 3), end) if p in self.opened]
+        return max(found) if found else None
+
+
 def _goes_on(body: str, at: int) -> bool:
     """Whether what stands at ``at``, behind a closed quotation, continues its sentence for certain."""
     while at < len(body) and body[at] in _STRIP:
@@ -338,41 +388,58 @@ def _goes_on(body: str, at: int) -> bool:
     return bool(c) and (c in ",;:，、；：)）—–" or c.islower())
 
 
-def _prior(body: str, end: int, start: int, spans: list[tuple[int, int]]) -> float:
+def _ordinal(body: str, end: int) -> bool:
+    """Whether a number with a point ends at ``end`` behind a word that no sentence ends with."""
+    at = end - 1
+    while at > 0 and body[at - 1].isdecimal():
+        at -= 1
+    word = at
+    while word > 0 and body[word - 1] in _STRIP:
+        word -= 1
+    low = word
+    while low > 0 and word - low < 8 and body[low - 1].isalpha():
+        low -= 1
+    return low < word < at and body[low:word].lower() in BEFORE_ORDINALS
+
+
+def _prior(body: str, end: int, start: int, quotes: _Quotes) -> float:
     """Belief in a boundary before anything is learnt; 0 where a quotation is open in a sentence that goes on."""
-    inside = [s for s in spans if s[0] < end <= s[1]]
-    for opened, closed in inside:
-        before = body[:opened].rstrip(_STRIP + _OPENERS)
-        fresh = not before or before[-1] in _ENDS + _CLOSERS or bool(re.fullmatch(r"\s*(?:[-*+•]|\d+[.)]|[QA]:)", before))
-        if not fresh or body[opened] in "(（" or _goes_on(body, closed + 1):
-            return 0.0
+    if quotes.within(end):
+        return 0.0
     if start < len(body) and body[start] in ",;，、；)）」』”»" or _goes_on(body, start) and body[start] in ",;:":
         return 0.0
     # quotations that end here, behind the mark they hold
-    closed = [s for s in spans if s[1] < end and s[1] >= end - 3 and body[end - 1] not in _ENDS]
-    last = re.search(rf"[^{_BLANKS}]*$", body[:end])[0].strip(_OPENERS + _CLOSERS)
-    first = body[start:].lstrip(_OPENERS)[:1]
+    opened = quotes.closed_before(end) if body[end - 1] not in _ENDS else None
+    low = end
+    while low > 0 and end - low <= LONG and body[low - 1] not in _STRIP:
+        low -= 1
+    last = body[low:end].strip(_OPENERS + _CLOSERS)
+    at = start
+    while at < len(body) and body[at] in _OPENERS:
+        at += 1
+    first = body[at : at + 1]
     mark = body[end - 1] if body[end - 1] in _ENDS else next((c for c in reversed(body[max(0, end - 4) : end]) if c in _ENDS), ".")
-    word = _TOKEN.match(body, start)
+    word = _TOKEN.match(body, start, start + LONG)
     told = word[0].lstrip(_OPENERS) if word else ""
     if last.lower().rstrip(".") in TITLES:
         prior = 0.01
     elif len(last) == 2 and last[0].isalpha() and last[1] == "." and (len(told) == 2 and told[1] == "." or not first.isupper()):
         prior = 0.03
-    elif re.fullmatch(r"\d{1,2}\.", last) and (before := re.search(rf"([^\W\d_]+)[{_BLANKS}]+\d+\.$", body[:end])) and before[1].lower() in BEFORE_ORDINALS:
+    elif _DAY.fullmatch(last) and _ordinal(body, end):
         prior = 0.02
+    elif mark in _WIDE_ENDS:
+        prior = 0.93
     elif first.islower():
         prior = 0.3 if told and _shape(_norm(told))[0] in "mP" else 0.03
     elif first.isdigit():
-        prior = 0.5 if mark in "!?" + _WIDE_ENDS else 0.15
+        prior = 0.5 if mark in "!?" else 0.15
     elif first.isupper() and not _IS_CJK.match(first):
         prior = 0.95 if mark != "." else 0.7
     else:
         prior = 0.93
-    if closed:
-        opened = closed[-1][0]
-        before = body[:opened].rstrip(_STRIP)
-        if before and before[-1] not in _ENDS + _CLOSERS and not re.fullmatch(r"\s*(?:[-*+•]|\d+[.)]|[QA]:)", before) and not (first.isupper() and not _IS_CJK.match(first)):
+    if opened is not None:
+        before = quotes.before(body, opened, _STRIP)
+        if before and before[-1] not in _ENDS + _CLOSERS and not _MARKER.fullmatch(before) and not (first.isupper() and not _IS_CJK.match(first)):
             prior = min(prior, 0.04)
     return prior
 
@@ -487,26 +554,26 @@ class Model:
             free = self.with_prior(g.u2, g.u1, g.v1, script, g.prior)
             tied = self.with_prior("<s>", g.u1, g.v1, script, g.prior) if i and chain[i - 1].start >= g.end - len(g.u1) - 2 else free
             weights.append((free, tied))
-        forward, a = [], np.array([1.0, 0.0])
-        clip = lambda x: math.exp(min(40.0, max(-40.0, x)))
-        steps = []
+        # Two states, boundary or none, at each gap; ``steps`` holds the probability of a boundary from either.
+        steps, forward, stays, ends = [], [], 1.0, 0.0
         for (free, tied), g in zip(weights, chain, strict=True):
-            if g.prior in (0.0, 1.0):
-                m = np.array([[1 - g.prior, g.prior]] * 2)
-            else:
-                m = np.array([[1.0, clip(free)], [1.0, clip(tied)]])
-            m /= m.sum(axis=1, keepdims=True)
-            steps.append(m)
-            a = a @ m
-            forward.append(a)
-        back, out = np.ones(2), [0.0] * n
+            p = (g.prior, g.prior) if g.prior in (0.0, 1.0) else (_logistic(free), _logistic(tied))
+            steps.append(p)
+            stays, ends = stays * (1 - p[0]) + ends * (1 - p[1]), stays * p[0] + ends * p[1]
+            forward.append((stays, ends))
+        out, after0, after1 = [0.0] * n, 1.0, 1.0
         for i in range(n - 1, -1, -1):
-            both = forward[i] * back
-            out[i] = float(both[1] / both.sum())
-            back = steps[i] @ back
+            none, some = forward[i][0] * after0, forward[i][1] * after1
+            out[i] = some / (none + some)
+            p = steps[i]
+            after0, after1 = (1 - p[0]) * after0 + p[0] * after1, (1 - p[1]) * after0 + p[1] * after1
         return out
 
 
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-min(40.0, max(-40.0, x))))
+
+
 def sentences_of(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text in order, blanks and byte-order marks stripped off."""
     out = []
