@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as sre_parser
+import re
 
 import numpy as np
 
 CHUNK = 1024
-_CATEGORIES = {sre.CATEGORY_SPACE: "\t\n\v\f\r \x85 　", sre.CATEGORY_DIGIT: "0123456789"}
+_CLASSES = {"s": "\t\n\v\f\r \x85\u00a0\u3000", "d": "0123456789", "n": "\n", "t": "\t"}
+_REPEAT = re.compile(r"\{(\d+)(,?)(\d*)\}")
 
 
 class Automaton:
     """Patterns, in letter case of no account, found anywhere in a text; ``run`` gives where each ends.
 
-    Patterns are regular expressions of literals, sets, groups, alternatives and repetitions. A match of
-    up to ``overlap`` characters lies within one chunk as a whole and is always found.
+    Patterns are regular expressions of literals, sets, groups, alternatives and repetitions. All chunks of
+    all texts begin at the start state and read ``overlap`` characters of the chunk before; where that
+    chunk ends in another state than the overlap led to, as in a match longer than it, the chunk is read
+    again from there. So a match of any length is found.
     """
 
     def __init__(self, patterns: list[str], overlap: int = 160):
@@ -24,7 +26,10 @@ class Automaton:
         accepts: dict[int, int] = {}
         start = self._state()
         for no, pattern in enumerate(patterns):
-            end = self._build(sre_parser.parse(pattern.lower()), start)
+            build, read = self._alternatives(pattern.lower(), 0)
+            if read != len(pattern):
+                raise ValueError(f"not a plain pattern: {pattern}")
+            end = build(start)
             accepts[end] = accepts.get(end, 0) | 1 << no
         alphabet = sorted({c for edges in self.edges for chars, _, _ in edges for c in chars or ()})
         self.char_class = np.zeros(0x10000, dtype=np.uint8)
@@ -45,53 +50,97 @@ class Automaton:
     def _edge(self, a: int, b: int, chars=None, negated=False) -> None:
         self.edges[a].append((None if chars is None else frozenset(chars), negated, b))
 
-    @staticmethod
-    def _set(items) -> tuple[set[int], bool]:
-        chars, negated = set(), False
-        for op, value in items:
-            if op is sre.NEGATE:
-                negated = True
-            elif op is sre.LITERAL:
-                chars.add(value)
-            elif op is sre.RANGE:
-                chars.update(range(value[0], value[1] + 1))
-            elif op is sre.CATEGORY:
-                chars.update(map(ord, _CATEGORIES[value]))
-        return chars, negated
-
-    def _build(self, tree, at: int) -> int:
-        for op, value in tree:
+    # A pattern is read by descent: alternatives of sequences of atoms, each with how often it stands. States are made
+    # anew for every repetition, so an atom is a function that builds itself between two states.
+
+    def _alternatives(self, p: str, i: int):
+        sequence, i = self._sequence(p, i)
+        options = [sequence]
+        while i < len(p) and p[i] == "|":
+            sequence, i = self._sequence(p, i + 1)
+            options.append(sequence)
+
+        def build(at: int) -> int:
+            if len(options) == 1:
+                return options[0](at)
+            after = self._state()
+            for option in options:
+                first = self._state()
+                self._edge(at, first)
+                self._edge(option(first), after)
+            return after
+
+        return build, i
+
+    def _sequence(self, p: str, i: int):
+        parts = []
+        while i < len(p) and p[i] not in "|)":
+            atom, i = self._atom(p, i)
+            least, most = 1, 1
+            if i < len(p) and p[i] in "*+?":
+                least, most, i = {"*": (0, None), "+": (1, None), "?": (0, 1)}[p[i]] + (i + 1,)
+            elif m := _REPEAT.match(p, i):
+                least, i = int(m[1]), m.end()
+                most = least if not m[2] else int(m[3]) if m[3] else None
+            parts.append((atom, least, most))
+
+        def build(at: int) -> int:
+            for atom, least, most in parts:
+                at = self._repeated(atom, least, most, at)
+            return at
+
+        return build, i
+
+    def _repeated(self, atom, least: int, most: int | None, at: int) -> int:
+        for _ in range(least):
+            at = atom(at)
+        if most == least:
+            return at
+        after = self._state()
+        self._edge(at, after)
+        if most is None:
+            self._edge(at, loop := self._state())
+            self._edge(atom(loop), loop)
+            self._edge(loop, after)
+        for _ in range((most or least) - least):
+            at = atom(at)
+            self._edge(at, after)
+        return after
+
+    def _atom(self, p: str, i: int):
+        if p[i] == "(":
+            build, i = self._alternatives(p, i + 1)
+            return build, i + 1
+        negated = False
+        if p[i] == "[":
+            i += 1
+            if negated := p[i] == "^":
+                i += 1
+            chars: set[int] = set()
+            while p[i] != "]":
+                one, i = self._characters(p, i)
+                if len(one) == 1 and p[i] == "-" and p[i + 1] != "]":
+                    end, i = self._characters(p, i + 1)
+                    one = set(range(min(one), max(end) + 1))
+                chars |= one
+            i += 1
+        else:
+            chars, i = self._characters(p, i)
+
+        def build(at: int) -> int:
             after = self._state()
-            if op is sre.LITERAL:
-                self._edge(at, after, {value})
-            elif op is sre.NOT_LITERAL:
-                self._edge(at, after, {value}, True)
-            elif op is sre.IN:
-                self._edge(at, after, *self._set(value))
-            elif op is sre.SUBPATTERN:
-                self._edge(self._build(value[-1], at), after)
-            elif op is sre.BRANCH:
-                for branch in value[1]:
-                    first = self._state()
-                    self._edge(at, first)
-                    self._edge(self._build(branch, first), after)
-            elif op is sre.MAX_REPEAT:
-                least, most, inner = value
-                for _ in range(least):
-                    at = self._build(inner, at)
-                self._edge(at, after)
-                if most is sre.MAXREPEAT:
-                    self._edge(at, loop := self._state())
-                    self._edge(self._build(inner, loop), loop)
-                    self._edge(loop, after)
-                    most = least
-                for _ in range(most - least):
-                    at = self._build(inner, at)
-                    self._edge(at, after)
-            else:
-                raise ValueError(f"not a plain pattern: {op}")
-            at = after
-        return at
+            self._edge(at, after, chars, negated)
+            return after
+
+        return build, i
+
+    @staticmethod
+    def _characters(p: str, i: int) -> tuple[set[int], int]:
+        if p[i] == "\\":
+            return set(map(ord, _CLASSES.get(p[i + 1], p[i + 1]))), i + 2
+        if p[i] in "*+?{":
+            raise ValueError(f"not a plain pattern: {p}")
+        return {ord(p[i])}, i + 1
 
     def _closed(self, states) -> frozenset:
         seen, stack = set(states), list(states)
@@ -148,16 +197,32 @@ class Automaton:
         padded[: len(classes)] = classes[: len(padded)]
         columns = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step].T)
         state, marked = np.zeros(n, dtype=np.int32), self.accept != 0
-        chunks, ends = [], []
+        chunks, ends, led = [], [], state
         for j in range(CHUNK):
             state = self.table[state + columns[j]]
             hit = np.flatnonzero(marked[state // self.n_classes])
             if len(hit):
                 chunks.append(hit * step + j + 1)
                 ends.append(self.accept[state[hit] // self.n_classes])
+            if j == self.overlap - 1:
+                led = state
+        for first in np.flatnonzero(state[:-1] != led[1:]) + 1:
+            i = int(first)
+            while i < n and state[i - 1] != led[i]:
+                here, at, more = int(state[i - 1]), [], []
+                for j in range(self.overlap, CHUNK):
+                    here = int(self.table[here + columns[j, i]])
+                    if marked[here // self.n_classes]:
+                        at.append(i * step + j + 1)
+                        more.append(self.accept[here // self.n_classes])
+                led[i] = state[i - 1]
+                state[i] = here
+                chunks.append(np.array(at, dtype=np.int64))
+                ends.append(np.array(more, dtype=np.int64))
+                i += 1
         if not chunks:
             return []
-        # Overlaps see the same end twice; a chunk that began within a match may have seen less of it.
+        # Overlaps see the same end twice.
         at, bits = np.concatenate(chunks), np.concatenate(ends)
         found, where = np.unique(at, return_inverse=True)
         total = np.zeros(len(found), dtype=np.int64)
