@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -75,6 +76,36 @@ _NO_NAME_TITLED = re.compile(_NO_NAME.pattern.replace("|Hook|Cursor|Index|Lock|B
 _BEHIND_TITLE = re.compile(rf"(?<![^\W\d_]){_TITLE}\.? \Z")
 
 
+#: Given names of many places that are no other words.
+GIVEN = frozenset(
+    """Adam Ahmed Aisha Alejandro Alice Amina Ana Andrea Andrew Anna Anne Antonio Arjun Barbara Beatriz Benjamin Carlos Carmen Catherine Charlotte Chiara Chloe
+    Christine Christopher Claire Claudia Cristina Daniel David Deborah Diego Dmitri Edward Elena Elizabeth Emily Emma Enrique Eric Fatima Felix Fernando Fiona
+    Francesca Francisco Franz Friedrich Gabriel Giovanni Giulia Gonzalo Guillaume Hannah Hans Hassan Heinrich Helen Henry Hiroshi Ibrahim Ines Ingrid Isabel
+    Ivan Jacob James Jan Jane Javier Jean Jennifer Jessica Joanna Johann Johanna John Jonas Jonathan Jorge Joseph Juan Julia Jürgen Karen Katarzyna Katharina
+    Kenji Khalid Klaus Laura Lars Layla Leila Leonardo Linda Lucas Lucia Luis Lukas Magdalena Manuel Marco Margaret Maria María Marie Mariana Mario Marta Martin
+    Mary Matthew Mehmet Michael Miguel Mohammed Monika Mustafa Nadia Natalia Nicholas Nicolas Nikolai Nina Olga Olivia Omar Pablo Patricia Paul Pedro Peter
+    Philippe Pierre Priya Rachel Rafael Raj Rebecca Renate Ricardo Richard Robert Roberto Rosa Sabine Samuel Sandra Sanjay Sara Sarah Sergei Simon Sofia Sophie
+    Stefan Stephanie Steven Susan Svetlana Takashi Tatiana Teresa Thomas Timothy Ursula Valentina Victoria Vladimir Wei William Yuki Yusuf Zeynep""".split()
+)
+_TWO_CAPITALS = re.compile(rf"(?<![^\W_])(?=[{_UP}])([^\W\d_]+)(?= [{_UP}])")
+_FULL_NAME = re.compile(_FULL)
+_PERSON_BEFORE = re.compile(r"(?:^|\s)(?:to|with|from|by|and|for|tell|told|ask|asked|met|meet|call|called|email|emailed|invite|mit|von|an|und|für|avec|de|par|à|et|con|por|y|para) $")
+_PERSON_AFTER = re.compile(r",? (?:who|joined|said|says|spoke|agreed|left|called|emailed|lives|works|worked|suggested|noted|thinks|wants|sagte|meinte|arbeitet|a dit|travaille|dijo|trabaja)\b")
+
+
+def _people(text: str):
+    """(score, start, end) of two and three capitalised words by what speaks for a person: a given name, words before and after."""
+    until = 0
+    for t in _TWO_CAPITALS.finditer(text):
+        if t.start() < until or _NO_NAME.match(t[0]) or not (m := _FULL_NAME.match(text, t.start())):
+            continue
+        score = 0.3 + 0.4 * (t[1] in GIVEN)
+        score += 0.2 * bool(_PERSON_BEFORE.search(text, max(0, t.start() - 10), t.start())) + 0.25 * bool(_PERSON_AFTER.match(text, m.end()))
+        if score >= THRESHOLD:
+            until = m.end()
+            yield score, m.start(), m.end()
+
+
 _LONE = re.compile(rf"[{_UP}] ")
 
 
@@ -167,12 +198,15 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 start = after + 1
             if not no_name.match(text, start, end):
                 found.append((0.8, start, end, "name"))
+    found += [(0.5, a, b, "name") for _, a, b in _people(text)]
     found.sort(key=lambda f: (-f[0], f[1] - f[2], f[1]))
+    # Kept spans are disjoint, so a span can only meet the one before it and the one after it.
     kept: list[tuple[int, int, str]] = []
     for _, a, b, kind in found:
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, kind))
-    return sorted(kept)
+        i = bisect.bisect_left(kept, (a,))
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or kept[i][0] >= b):
+            kept.insert(i, (a, b, kind))
+    return kept
 
 
 def replaced(text: str, found: list[tuple[int, int, str]]) -> str:

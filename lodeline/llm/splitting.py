@@ -41,14 +41,17 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: index of the greatest of a range in constant time, ties to the right."""
+    """Sparse table: index of the greatest of a range of at most ``widest`` values (of any, if None) in constant time, ties to the right.
 
-    def __init__(self, values: np.ndarray):
+    Levels stop at the widest range asked for, so their number doesn't grow with the values.
+    """
+
+    def __init__(self, values: np.ndarray, widest: int | None = None):
         self.values = values
-        level = np.arange(len(values), dtype=np.int64)
+        level = np.arange(len(values), dtype=np.int32)
         self.levels = [level]
         width = 1
-        while 2 * width <= len(values):
+        while 2 * width <= min(len(values), widest or len(values)):
             a, b = level[:-width], level[width:]
             level = np.where(values[a] > values[b], a, b)
             self.levels.append(level)
@@ -69,16 +72,15 @@ def pieces(text: str, max_size: int, overlap: int, unit: str) -> list[tuple[int,
     single character larger than ``max_size`` is a piece of its own.
     """
     n = len(text)
-    if unit == "bytes":
+    size = np.arange(n + 1, dtype=np.int64)
+    if unit == "bytes" and not text.isascii():
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-    else:
-        widths = np.ones(n, dtype=np.int64)
-    size = np.concatenate([[0], np.cumsum(widths)])
+        for beyond in (0x7F, 0x7FF, 0xFFFF):
+            size[1:] += np.cumsum(points > beyond)
     if size[-1] <= max_size:
         return [(0, n)]
-    strength = strengths(text)
-    best = RangeMax(strength)
+    # A window holds at most as many cuts as a piece has room for characters.
+    best = RangeMax(strengths(text), max_size + 1)
     out, start, reached = [], 0, 0
     while True:
         last = int(np.searchsorted(size, size[start] + max_size, side="right")) - 1
