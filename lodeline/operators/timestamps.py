@@ -10,12 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.times import ZONE, offset_ms, stripped, wall_ms
-from lodeline.tables import kept_in_order, table
+from lodeline.functions.times import ABBREVIATIONS, ZONE, offset_ms, stripped, wall_ms
+from lodeline.tables import cut, discard, kept_in_order, table
 
 EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
 #: Milliseconds of 2000-01-01 and 2101-01-01: an epoch count must lie between them in its unit.
 EPOCH_FROM, EPOCH_TO = 946_684_800_000, 4_133_980_800_000
+#: Records of one block of a source's order: what a task holds at a time. Two to the power of BLOCK_BITS.
+BLOCK_BITS = 16
+#: Blocks whose entries and exits are broadcast; more of them are joined.
+BROADCAST_BLOCKS = 500_000
+#: Records of one range partition, as many as are worth a task.
+PARTITION_RECORDS = 1_000_000
 MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
 
 _Z = rf"(?: ?{ZONE})?"
@@ -161,48 +167,50 @@ def _minplus(m: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _runs(frames, columns):
-    """(source, rows of one source in this partition), in order; every row as the tuple of ``columns``."""
-    source, rows = None, []
+    """(source, block, rows) of one block in this partition, in order; every row as the tuple of ``columns``, which begin with both."""
+    key, rows = None, []
     for frame in frames:
         for row in zip(*(frame[c] for c in columns), strict=True):
-            if row[0] != source and rows:
-                yield source, rows
+            if row[:2] != key and rows:
+                yield *key, rows
                 rows = []
-            source = row[0]
+            key = row[:2]
             rows.append(row)
     if rows:
-        yield source, rows
+        yield *key, rows
 
 
-def choose(records: DataFrame, rules: Rules = Rules(), partitions: int | None = None) -> DataFrame:
+def choose(records: DataFrame, rules: Rules = Rules(), partitions: int | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
     """(source, key, instant_ms) of every row of ``records`` (source, ord, key, readings).
 
     Within each source, in the order of ``ord`` and ``key``, the cheapest sequence of readings is
-    chosen by Viterbi. The order is cut into range partitions, so that a source with a third of all
-    rows is spread like any other: each block folds its rows into a min-plus matrix from the readings
-    of its first record to those of its last, the few matrices of a source's blocks are chained
-    (at most two rows per partition belong to sources that cross a border), and each block is then
-    traced back by itself from the exit so found. The result is that of one pass over the whole source.
+    chosen by Viterbi. The order is cut into range partitions, as many as the records need, and these into
+    blocks of at most 2 ** ``block_bits`` records, so that a source with a third of all rows is spread
+    like any other and a task holds one block at a time. Each block folds its rows into a min-plus matrix
+    from the readings of its first record to those of its last, the small matrices of a source's blocks
+    are chained, and each block is then traced back by itself from the exit so found. The result is
+    that of one pass over the whole source.
 
     Records without readings get a null instant; ties take the reading generated first; an empty table
     gives no rows; null sources form one source of their own; records with a null ``ord`` come first.
     """
     spark = records.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = kept_in_order(
+    # Readings are made once: their range bounds are sampled from the written table.
+    read = cut(
         records.select(
             F.coalesce("source", F.lit("")).alias("source"), "ord", F.col("key").cast("string").alias("key"),
             F.col("readings")["fmt"].alias("fmts"), F.col("readings")["instant_ms"].alias("ms"), F.col("readings")["cost"].alias("costs"),
         )
-        .repartitionByRange(n, "source", "ord", "key")
-        .sortWithinPartitions("source", "ord", "key")
-        .withColumn("block", F.spark_partition_id())
     )
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() // PARTITION_RECORDS))
+    place = F.monotonically_increasing_id()  # partition, and place in it
+    blocks = kept_in_order(read.repartitionByRange(n, "source", "ord", "key").sortWithinPartitions("source", "ord", "key").withColumn("block", F.shiftright(place, block_bits)))
+    discard(read)
     columns = ["source", "block", "key", "fmts", "ms", "costs"]
 
     def fold(frames):
         path = _Path(rules)
-        for source, rows in _runs(frames, columns):
+        for source, block, rows in _runs(frames, columns):
             first = before = path.states(*rows[0][3:])
             total = np.where(np.eye(len(first), dtype=bool), [s[2] for s in first], np.inf)
             for row in rows[1:]:
@@ -210,12 +218,12 @@ def choose(records: DataFrame, rules: Rules = Rules(), partitions: int | None =
                 total = _minplus(total, path.steps(before, after))
                 before = after
             pack = lambda states: ([s[0] for s in states], [s[1] for s in states], [s[2] for s in states])
-            yield pd.DataFrame([(source, int(rows[0][1]), len(first), len(before), total.ravel().tolist(), *pack(first), *pack(before))], columns=_FOLDED)
+            yield pd.DataFrame([(source, int(block), len(first), len(before), total.ravel().tolist(), *pack(first), *pack(before))], columns=_FOLDED)
 
     _FOLDED = ["source", "block", "n_first", "n_last", "costs", "f_fmt", "f_ms", "f_cost", "l_fmt", "l_ms", "l_cost"]
     folded = blocks.mapInPandas(
         fold,
-        "source string, block int, n_first int, n_last int, costs array<double>, f_fmt array<string>, f_ms array<bigint>, f_cost array<double>,"
+        "source string, block bigint, n_first int, n_last int, costs array<double>, f_fmt array<string>, f_ms array<bigint>, f_cost array<double>,"
         " l_fmt array<string>, l_ms array<bigint>, l_cost array<double>",
     )
 
@@ -243,16 +251,21 @@ def choose(records: DataFrame, rules: Rules = Rules(), partitions: int | None =
                 leave = int(joins[i - 1][enter])
         return pd.DataFrame(out, columns=["source", "block", "enter", "leave"])
 
-    # Only sources that lie in several blocks; a block holds at most two of them, so the list is bounded by the partitions.
-    spans = folded.groupBy("source").applyInPandas(
-        lambda frame: chain(frame) if len(frame) > 1 else pd.DataFrame(columns=["source", "block", "enter", "leave"]),
-        "source string, block int, enter int, leave int",
+    # Sources that lie in several blocks; one row each, and a source's rows are a few numbers a block.
+    spans = cut(
+        folded.groupBy("source").applyInPandas(
+            lambda frame: chain(frame) if len(frame) > 1 else pd.DataFrame(columns=["source", "block", "enter", "leave"]),
+            "source string, block bigint, enter int, leave int",
+        )
     )
-    told = blocks.join(F.broadcast(spans), ["source", "block"], "left")
+    if spans.count() <= BROADCAST_BLOCKS:
+        told = blocks.join(F.broadcast(spans), ["source", "block"], "left")  # the order of the rows stays
+    else:
+        told = blocks.join(spans, ["source", "block"], "left").repartition("source", "block").sortWithinPartitions("source", "block", "ord", "key")
 
     def trace(frames):
         path = _Path(rules)
-        for source, rows in _runs(frames, [*columns, "enter", "leave"]):
+        for source, _, rows in _runs(frames, [*columns, "enter", "leave"]):
             before = path.states(*rows[0][3:6])
             enter, leave = rows[0][6], rows[0][7]
             cost = np.array([s[2] for s in before])
@@ -294,6 +307,13 @@ def record_readings(spark, folder: str, rules: Rules = Rules()) -> DataFrame:
     )
 
 
+def p3_free(spark, folder: str) -> DataFrame:
+    """(record_set, record_key, instant_ms) where nothing is agreed about slashes and dots: the path through each source's order decides."""
+    chosen = choose(record_readings(spark, folder, Rules(slashes=None, dots=None)))
+    told = chosen.where("instant_ms is not null").select(F.substring_index("source", "/", 1).alias("record_set"), F.col("key").alias("record_key"), "instant_ms")
+    return told.groupBy("record_set", "record_key").agg(F.min("instant_ms").alias("instant_ms"))
+
+
 def p3_instants(spark, folder: str) -> DataFrame:
     """(record_set, record_key, instant_ms) of every record whose instant is known."""
     chosen = choose(record_readings(spark, folder))
@@ -320,5 +340,43 @@ def p3_found(spark, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_instants": p3_instants}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_instants": p3_instants, "p3_free": p3_free}
+_FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone_told", "region")
+_LISTED_MONTHS = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
+
+
+def _shape_sql(pattern: str, order: str) -> str:
+    taken = [f"regexp_extract(t, '{pattern}', {part[1:]}) as {name}" if part else f"'' as {name}" for part, name in zip(order.split("|"), _FIELDS, strict=True)]
+    return f"select record_set, record_key, ts, t, te, zone, {', '.join(taken)} from r where regexp_matches(t, '{pattern}')"
+
+
+def _epoch_sql(count: str, fraction: str = "0") -> str:
+    low, high = EPOCH_FROM, EPOCH_TO
+    return f"case when {count} >= {low // 1000} and {count} < {high // 1000} then {count} * 1000 + {fraction} when {count} >= {low} and {count} < {high} then {count} when {count} // 1000 >= {low} and {count} // 1000 < {high} then {count} // 1000 end"
+
+
+_digits = "cast(substr(rpad({}, 3, '0'), 1, 3) as bigint)"
+_named = " ".join(f"when '{name}' then {minutes}" for name, minutes in ABBREVIATIONS.items())
+_bare = r"regexp_replace(ts, '^[\s\x{a0}\x{feff}]+|[\s\x{a0}\x{feff}]+$', '', 'g')"
+_INSTANTS = f"""with r as (
+    select 'shell_entries' as record_set, cast(entry_id as varchar) as record_key, ts, {_bare} as t, host_zone as zone, null::bigint as te from shell_entries
+    union all select 'nodes', node_id, ts, {_bare}, null, ts_epoch from nodes),
+shaped as ({" union all ".join(_shape_sql(pattern, order) for _, pattern, order in _SHAPES)}),
+clock as (select *, try_cast(lpad(year, 4, '0') || '-' || lpad(coalesce(cast(list_position({_LISTED_MONTHS}, lower(month)) as varchar), month), 2, '0') || '-' || lpad(day, 2, '0') || ' '
+    || lpad(cast(case lower(half) when '' then cast(hour as int) when 'p' then cast(hour as int) % 12 + 12 else cast(hour as int) % 12 end as varchar), 2, '0') || ':' || minute || ':' || coalesce(nullif(second, ''), '00') as timestamp) as wall,
+    {_digits.format("fraction")} as ms, case when region in (select name from pg_timezone_names()) then region when zone in (select name from pg_timezone_names()) then zone end as machine from shaped),
+placed as (select *, epoch_ms(wall) + ms as wall_ms, case when zone_told = '' then null when regexp_matches(zone_told, '^[+-]') then
+    (case when zone_told[1] = '-' then -1 else 1 end) * (cast(substr(zone_told, 2, 2) as int) * 60 + cast(right(zone_told, 2) as int)) else case upper(zone_told) {_named} end end as minutes,
+    epoch_ms(timezone(machine, wall)) as at_ms from clock where wall is not null),
+written as (select record_set, record_key, ts, te, case when minutes is not null then wall_ms - minutes * 60000 when machine is not null then
+    (case when timezone(machine, make_timestamptz((at_ms - 3600000) * 1000)) = wall then at_ms - 3600000 when timezone(machine, make_timestamptz((at_ms - 1800000) * 1000)) = wall then at_ms - 1800000 else at_ms end) + ms
+    else {_epoch_sql("te")} end as instant_ms from placed),
+counted as (select record_set, record_key, ts, te, {_epoch_sql("n", "f")} as instant_ms from (select *, try_cast(regexp_extract(t, '{_EPOCH}', 1) as bigint) as n, {_digits.format(f"regexp_extract(t, '{_EPOCH}', 2)")} as f from r where regexp_matches(t, '{_EPOCH}'))),
+told as (select * from written where instant_ms is not null union all select * from counted where instant_ms is not null),
+rest as (select record_set, record_key, ts, te, {_epoch_sql("te")} as instant_ms from r where (record_set, record_key, coalesce(ts, '')) not in (select (record_set, record_key, coalesce(ts, '')) from told)),
+every as (select *, regexp_matches(coalesce(ts, ''), '{EXACT}') as exact from (select * from told union all select * from rest where instant_ms is not null))
+"""
+SQL = {
+    "p3_instants": _INSTANTS + "select record_set, record_key, min(instant_ms) as instant_ms from every group by record_set, record_key",
+    "p3_found": _INSTANTS + "select record_set, record_key, min(instant_ms) as instant_ms from every where not exact or record_set = 'nodes' and te is distinct from instant_ms group by record_set, record_key",
+}

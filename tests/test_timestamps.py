@@ -83,8 +83,8 @@ def test_viterbi_over_blocks_equals_all_paths(spark):
         states = [path.states([x[0] for x in r], [x[1] for x in r], [x[2] for x in r]) for r in records]
         want[s] = min(total(path, states, p) for p in itertools.product(*(range(len(x)) for x in states)))
     df = spark.createDataFrame(rows, SCHEMA)
-    for partitions in (1, 3, 17):
-        got = {r.key: r.instant_ms for r in choose(df, rules, partitions).collect()}
+    for partitions, bits in ((1, 16), (3, 16), (17, 16), (2, 1), (1, 0)):
+        got = {r.key: r.instant_ms for r in choose(df, rules, partitions, bits).collect()}
         assert len(got) == len(rows)
         for s in range(12):
             mine = [r for r in rows if r[0] == f"s{s}"]
