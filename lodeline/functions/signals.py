@@ -96,6 +96,18 @@ def session_signal(turns: Column) -> Column:
     return clamped(0.6 + F.least(F.lit(0.25), turns / 100))
 
 
+def source_band(signal: Column, source: Column) -> Column:
+    """The band of a signal by the bounds of its row's source; sources without bounds of their own have those of documents."""
+    of = (
+        F.when(source.startswith("git-diff"), "diff").when(source.startswith("git"), "git").when(source.startswith("shell"), "shell")
+        .when(source.startswith("conversation") | source.startswith("session"), "conversation").otherwise("docs")
+    )
+    out = band(signal, "docs")
+    for name in BANDS:
+        out = F.when(of == name, band(signal, name)).otherwise(out)
+    return out
+
+
 def band(signal: Column, source: str) -> Column:
     high, medium = BANDS[source]
     return F.when(signal >= high, "high").when(signal >= medium, "medium").otherwise("low")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import approx_tokens, default_provenance, trimmed, truncated
-from lodeline.operators.lexical import LIVE_SQL, live_nodes, search, search_sql
+from lodeline.operators.lexical import LIVE_SQL, live_nodes, search_sql
 from lodeline.operators.vectors import nearest
-from lodeline.tables import table
+from lodeline.tables import cut, table
 
 # Fixed values of the ranking.
 RRF_K = 60
@@ -23,9 +23,9 @@ RECENCY_EXPONENT = math.log(math.sqrt(2)) / math.log(1 / RECENCY_FLOOR)
 SUMMARY_CHARS, NODE_OVERHEAD, PER_FAMILY = 320, 8, 2
 CHUNKED = ("conversation_turn", "doc_section")
 STOPWORDS = (
-    "the and for are was were that this with from into not but what why how when where which who does did has have had can "
-    "could would should all any every each its our you your about"
-).split()
+    "the", "and", "for", "are", "was", "were", "that", "this", "with", "from", "into", "not", "but", "what", "why", "how", "when", "where", "which", "who",
+    "does", "did", "has", "have", "had", "can", "could", "would", "should", "all", "any", "every", "each", "its", "our", "you", "your", "about",
+)
 
 
 def reciprocal_ranks(lists: DataFrame, id_column: str = "node_id") -> DataFrame:
@@ -169,18 +169,23 @@ QUERY, NOW_MS, BUDGET = "packer restart lock", 1_767_225_600_000, 900
 
 
 def _hits(spark, folder, n=30):
-    return search(live_nodes(spark, folder), QUERY, n).select(
+    """The best rows by the index; what follows is about this bounded list alone."""
+    from lodeline.operators.index import fetched, nodes_index, search_index
+
+    best = [(r.node_id, r.rank) for r in search_index(nodes_index(spark, folder), QUERY, n).collect()]
+    rows = fetched(table(spark, folder, "nodes"), [i for i, _ in best]).join(F.broadcast(spark.createDataFrame(best, "node_id string, rank double")), "node_id")
+    return rows.select(
         "node_id", "kind", "project_id", "ts", F.when(F.col("ts_epoch") > 0, F.col("ts_epoch")).alias("ts_ms"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("body", F.lit("")).alias("body"), F.col("signal_score").alias("signal"), F.coalesce("provenance", default_provenance(F.col("kind"))).alias("provenance"), "rank",
     )
 
 
 def _superseded(spark, folder):
-    return live_nodes(spark, folder).where("supersedes is not null")
+    return table(spark, folder, "nodes").where("supersedes is not null").select("supersedes").distinct()
 
 
 def _ranked(spark, folder):
-    return ranked(_hits(spark, folder), "rank", NOW_MS, _superseded(spark, folder))
+    return cut(ranked(_hits(spark, folder), "rank", NOW_MS, _superseded(spark, folder)))
 
 
 def _positioned(spark, folder):
@@ -197,7 +202,7 @@ def q15_score(spark, folder):
 
 def q16_superseded(spark, folder):
     """All nodes that something supersedes, with the penalised score of a full match."""
-    old = live_nodes(spark, folder).join(F.broadcast(_superseded(spark, folder).select(F.col("supersedes").alias("node_id")).distinct()), "node_id", "left_semi")
+    old = live_nodes(spark, folder).join(_superseded(spark, folder).withColumnRenamed("supersedes", "node_id"), "node_id", "left_semi")
     return old.select("node_id", "kind", (F.lit(1.0) * SUPERSEDED_PENALTY).alias("factor"))
 
 
@@ -217,46 +222,51 @@ def q17_context(spark, folder):
 
 def q12_rrf(spark, folder):
     """Documents by words and vectors (a vector stands for the document of its number), fused."""
-    docs, lists = _both_lists(spark, folder)
-    return reciprocal_ranks(lists)
+    return reciprocal_ranks(_both_lists(spark, folder))
+
+
+def _lexical(spark, folder):
+    from lodeline.operators.index import documents_index, search_index
+
+    return search_index(documents_index(spark, folder), "retry lock", 20)
 
 
 def _both_lists(spark, folder):
-    from lodeline.operators.lexical import documents_as_nodes
     from lodeline.operators.vectors import _query_vector
 
-    lexical = placed(search(documents_as_nodes(spark, folder), "retry lock", 20), F.desc("rank"), F.col("node_id")).select(F.lit("lexical").alias("list"), "node_id", "place")
+    lexical = placed(_lexical(spark, folder), F.desc("rank"), F.col("node_id")).select(F.lit("lexical").alias("list"), "node_id", "place")
     near = nearest(table(spark, folder, "embeddings"), _query_vector(spark, folder, 7), 20)
     vector = placed(near, F.col("distance"), F.col("vec_id")).select(F.lit("vector").alias("list"), F.col("vec_id").alias("node_id"), "place")
-    return documents_as_nodes(spark, folder), lexical.unionByName(vector)
+    return lexical.unionByName(vector)
 
 
 def q13_merge(spark, folder):
-    from lodeline.operators.lexical import documents_as_nodes
-
-    docs = documents_as_nodes(spark, folder)
-    lexical = search(docs, "retry lock", 20).select("node_id", "rank")
-    vector = _both_lists(spark, folder)[1].where("list = 'vector'").select("node_id")
-    return merged_hits(lexical, vector)
+    vector = _both_lists(spark, folder).where("list = 'vector'").select("node_id")
+    return merged_hits(_lexical(spark, folder).select("node_id", "rank"), vector)
 
 
 def q19_hybrid(spark, folder):
     """Lexical and vector hits of the documents, fused, rescaled and cut to the best 20."""
-    fused = reciprocal_ranks(_both_lists(spark, folder)[1])
-    docs = _both_lists(spark, folder)[0].select("node_id", "kind")
-    hits = fused.join(docs, "node_id").withColumn("relevance", F.round(relevance(F.col("fused"), Window.partitionBy(F.lit(0))), 6))
+    fused = {r.node_id: r.fused for r in reciprocal_ranks(_both_lists(spark, folder)).collect()}
+    told = spark.createDataFrame(list(fused.items()), "node_id bigint, fused double")
+    docs = table(spark, folder, "documents").where(F.col("doc_id").isin(list(fused))).select(F.col("doc_id").alias("node_id"), "kind")
+    hits = docs.join(F.broadcast(told), "node_id").withColumn("relevance", F.round(relevance(F.col("fused"), Window.partitionBy(F.lit(0))), 6))
     return hits.orderBy(F.desc("relevance"), "node_id").limit(20).select("node_id", "kind", "relevance")
 
 
 def q20_cross_project(spark, folder):
     """One list per project, each with its own places, fused; ties to the smaller id."""
-    hits = search(live_nodes(spark, folder), QUERY, None)
+    from lodeline.operators.index import nodes_index, search_index
+
+    hits = search_index(nodes_index(spark, folder), QUERY, None)
     lists = placed(hits, F.desc("rank"), F.col("node_id"), by=("project_id",)).where("place <= 10")
     return reciprocal_ranks(lists).join(lists.select("node_id", "project_id"), "node_id").orderBy(F.desc("fused"), "node_id").limit(30).select("node_id", "project_id", "fused")
 
 
 def q20_project_hits(spark, folder):
-    return search(live_nodes(spark, folder), QUERY, None).groupBy("project_id").agg(F.count(F.lit(1)).alias("hits"))
+    from lodeline.operators.index import nodes_index, search_index
+
+    return search_index(nodes_index(spark, folder), QUERY, None).groupBy("project_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 QUERIES = {f.__name__: f for f in (q12_rrf, q13_merge, q14_relevance, q15_score, q16_superseded, q17_pack, q18_pack_family, q17_context, q19_hybrid, q20_cross_project, q20_project_hits)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import subprocess
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from lodeline.functions.text import trimmed
 
 RECORD, UNIT = "\x1e", "\x1f"
 FORMAT = RECORD + UNIT.join(["%H", "%h", "%P", "%an", "%ae", "%aI", "%cI", "%s", "%B"]) + UNIT
+PATCH_FORMAT = RECORD + UNIT.join(["%H", "%h", "%aI", "%s"]) + UNIT
 HUNK = r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
 
 
@@ -24,11 +27,115 @@ def log_arguments(after: str | None = None, since: str | None = None, most: int
     return [*args, f"{after}..{rev}" if after else rev, "--", *paths]
 
 
+def patch_arguments(after: str | None = None, most: int | None = None, context: int = 3, paths: tuple[str, ...] = (), rev: str = "HEAD") -> list[str]:
+    """Arguments of git for the patches of all commits but merges, with renames told and files as they are kept."""
+    args = ["log", f"--format={PATCH_FORMAT}", "-p", "--no-merges", "-M", "--no-textconv", "--no-ext-diff", f"-U{context}"]
+    return [*args, *([f"--max-count={most}"] if most is not None else []), f"{after}..{rev}" if after else rev, "--", *paths]
+
+
+def git(repository: str, *args: str) -> str:
+    """What git answers; raises RuntimeError with git's own words where it fails."""
+    run = subprocess.run(["git", "-C", repository, *args], capture_output=True, check=False)
+    if run.returncode:
+        raise RuntimeError(f"git {args[0]}: {run.stderr.decode('utf-8', 'replace').strip()}")
+    return run.stdout.decode("utf-8", "replace")
+
+
+def facts(repository: str) -> dict[str, str | None]:
+    """Root, branch, head and origin of a repository; null where it has none yet. Raises RuntimeError where there is no repository."""
+
+    def ask(*args: str) -> str | None:
+        try:
+            return git(repository, *args).strip() or None
+        except RuntimeError:
+            return None
+
+    return {"root": git(repository, "rev-parse", "--show-toplevel").strip(), "branch": ask("symbolic-ref", "--short", "HEAD"), "head": ask("rev-parse", "--verify", "HEAD"), "origin": ask("remote", "get-url", "origin")}
+
+
+def tracked(spark: SparkSession, repository: str, *specs: str) -> DataFrame:
+    """(path) of the files a repository tracks."""
+    return spark.createDataFrame([(p,) for p in git(repository, "ls-files", "-z", "--", *specs).split("\0") if p], "path string")
+
+
+def changed(spark: SparkSession, repository: str, staged: bool = True) -> DataFrame:
+    """(path) of the files staged, or changed in the working tree."""
+    args = ["diff", "--name-only", "-z", *(["--cached"] if staged else [])]
+    return spark.createDataFrame([(p,) for p in git(repository, *args).split("\0") if p], "path string")
+
+
+def _streamed(repository: str, args: list[str], tries: int = 3) -> Iterator[str]:
+    """Records as git writes them; a run that fails before its first record is tried again, and git is ended when nobody reads on."""
+    for attempt in range(tries):
+        process = subprocess.Popen(["git", "-C", repository, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+        seen = False
+        try:
+            chunks = iter(lambda p=process: p.stdout.read(1 << 16), b"")
+            decoder = codecs.getincrementaldecoder("utf-8")("replace")
+            for record in record_batches(decoder.decode(c) for c in chunks):
+                seen = True
+                yield record
+            error = process.stderr.read().decode("utf-8", "replace")
+            if process.wait() == 0:
+                return
+        finally:
+            if process.poll() is None:
+                process.kill()
+            process.wait()
+        if "does not have any commits yet" in error or "bad revision 'HEAD'" in error:
+            return
+        if seen or attempt == tries - 1:
+            raise RuntimeError(f"git {args[0]}: {error.strip()}")
+        time.sleep(0.2 * 4**attempt)
+
+
+def _records(spark: SparkSession, repositories: list[str], args: list[str], batch: int = 500) -> DataFrame:
+    """(repository, record): git runs in the tasks, one repository each, and its output passes through in batches."""
+
+    def read(frames):
+        for frame in frames:
+            for repository in frame["repository"]:
+                held = []
+                for record in _streamed(repository, args):
+                    held.append(record)
+                    if len(held) == batch:
+                        yield pd.DataFrame({"repository": repository, "record": held})
+                        held = []
+                yield pd.DataFrame({"repository": [repository] * len(held), "record": held})
+
+    listed = spark.createDataFrame([(r,) for r in repositories], "repository string").repartition(len(repositories))
+    return listed.mapInPandas(read, "repository string, record string")
+
+
 def read_log(spark: SparkSession, repository: str, **options) -> DataFrame:
-    """(record): the raw records of a repository; an empty history has none. Git runs once, on the driver, as repositories are local to it."""
-    run = subprocess.run(["git", "-C", repository, *log_arguments(**options)], capture_output=True, check=False)
-    text = run.stdout.decode("utf-8", "replace") if run.returncode == 0 else ""
-    return spark.createDataFrame([(r,) for r in text.split(RECORD) if r], "record string")
+    """(record): the raw records of a repository; an empty history has none. A git that fails fails the query."""
+    return _records(spark, [repository], log_arguments(**options)).select("record")
+
+
+def read_patches(spark: SparkSession, repository: str, **options) -> DataFrame:
+    """(record): the raw patch records of a repository, for ``patches``."""
+    return _records(spark, [repository], patch_arguments(**options)).select("record")
+
+
+def patches(records: DataFrame) -> DataFrame:
+    """(sha, short_sha, authored_at, subject, block) of patch records; those cut short, null or without a name give no row."""
+    p = records.select(F.split(F.regexp_replace("record", f"^{RECORD}+", ""), UNIT, 5).alias("p")).where((F.size("p") >= 5) & F.get(F.col("p"), 0).rlike(r"(?i)^[0-9a-f]{7,64}\z"))
+    get = lambda i: F.get(F.col("p"), i)
+    return p.select(get(0).alias("sha"), get(1).alias("short_sha"), get(2).alias("authored_at"), trimmed(get(3)).alias("subject"), get(4).alias("block"))
+
+
+def walk_from(repository: str, cursor: str | None, rev: str = "HEAD") -> str | None:
+    """The cursor if it is still an ancestor of the head; null, for a full walk, where history was rewritten or there is no cursor."""
+    if cursor is None:
+        return None
+    run = subprocess.run(["git", "-C", repository, "merge-base", "--is-ancestor", cursor, rev], capture_output=True, check=False)
+    return cursor if run.returncode == 0 else None
+
+
+def moved(cursors: DataFrame, project: str, source: str, head: str, at: int) -> DataFrame:
+    """The cursors with the one of a source set, to be written once the rows of the walk are: each source has its own."""
+    new = cursors.sparkSession.createDataFrame([(project, source, head, at)], "project_id string, source string, cursor string, last_run_at bigint")
+    return cursors.join(new.select("project_id", "source"), ["project_id", "source"], "left_anti").unionByName(new)
 
 
 @F.pandas_udf(StringType())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives for the tables of ``folder``, built at first use in this application and kept: tables that change need another folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names, as it is named; a local session that names none gets its own.
 
