@@ -14,6 +14,7 @@ from lodeline.functions.times import with_instant
 from lodeline.operators.lexical import LIVE_SQL, live_nodes
 from lodeline.tables import cut, table
 
+# Names of files, headings, and titles that tell nothing.
 _NAMES = r"(?:[\w.-]+/)*[\w-]+\.(?:ts|tsx|js|jsx|json|md|py|rs|go|java|c|cpp|h|hpp|css|html|ya?ml|toml|sql|sh|ps1)"
 #: Word borders are those of plain letters and digits, also next to other scripts.
 FILE_PATH = rf"(?<![A-Za-z0-9_]){_NAMES}(?![A-Za-z0-9_])"
@@ -200,8 +201,11 @@ def q41_files(spark, folder):
 
 
 def q42_section_signal(spark, folder):
+    """Paths and headings from the documents: every seventh number a readme, the heading the first line if it is one."""
     d = table(spark, folder, "documents").where("kind = 'doc_section' and text is not null")
-    return d.select("doc_id", signals.section_signal(F.lit("docs/README.md"), F.lit("x"), F.col("text")).alias("signal"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("docs")), F.when(F.col("doc_id") % 7 == 0, "README.md").otherwise("guide.md"))
+    heading = F.nullif(F.regexp_extract("text", r"^#{1,6} ([^\r\n]*)", 1), F.lit(""))
+    return d.select("doc_id", signals.section_signal(path, heading, F.col("text")).alias("signal"))
 
 
 def q43_turn_signal(spark, folder):
@@ -215,22 +219,27 @@ def q44_command_signal(spark, folder):
 
 
 def q45_patch_signal(spark, folder):
+    """Each patch with the subject of a commit of its project, the first by title."""
     d = table(spark, folder, "file_diffs").where("not is_binary")
-    return d.select("diff_id", signals.patch_signal(F.lit("fix(core)!: keep the lock"), F.col("file_path"), F.col("change_status"), F.col("insertions") + F.col("deletions")).alias("signal"))
+    n = table(spark, folder, "nodes").where("kind = 'git_commit' and title is not null").groupBy("project_id").agg(F.min("title").alias("title"))
+    told = d.join(n, "project_id", "left").select("diff_id", F.coalesce("title", F.lit("")).alias("t"), "file_path", "change_status", "insertions", "deletions")
+    return told.select("diff_id", signals.patch_signal(F.col("t"), F.col("file_path"), F.col("change_status"), F.col("insertions") + F.col("deletions")).alias("signal"))
 
 
 def q45_commit_signal(spark, folder):
+    """Commits by title, with as many files and as much churn as the patches of their project in all, a merge where the title says so."""
     n = live_nodes(spark, folder).where("kind = 'git_commit' and title is not null")
-    return n.select("node_id", signals.commit_signal(F.col("title"), F.length(F.coalesce("body", F.lit(""))), F.lit(False), F.lit(3), F.lit(40)).alias("signal"))
-
-
-def q46_bands(spark, folder):
-    n = live_nodes(spark, folder)
-    return n.groupBy("kind", signals.band(F.col("signal_score"), "docs").alias("band")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = table(spark, folder, "file_diffs").groupBy("project_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("insertions", F.lit(0)) + F.coalesce("deletions", F.lit(0))).alias("churn"))
+    told = n.join(sizes, "project_id", "left").fillna(0, ["files", "churn"])
+    return told.select("node_id", signals.commit_signal(F.col("title"), F.length(F.coalesce("body", F.lit(""))), F.lower("title").contains("merge"), F.col("files"), F.col("churn")).alias("signal"))
 
 
 def q47_turns(spark, folder):
-    return turns_of(table(spark, folder, "transcript_lines").dropDuplicates(["session_id", "line_no"]))
+    """Of a line told several times, the smallest copy: the same whatever the order of the rows; lines without number stay apart."""
+    t = table(spark, folder, "transcript_lines")
+    rest = [c for c in t.columns if c not in ("session_id", "line_no")]
+    one = t.where("line_no is not null").groupBy("session_id", "line_no").agg(F.min(F.struct(*rest)).alias("r")).select("session_id", "line_no", "r.*")
+    return turns_of(one.unionByName(t.where("line_no is null")))
 
 
 def q48_sessions(spark, folder):
@@ -325,12 +334,15 @@ SQL = {
     "q27_churn": "select sha, count(*) as files, cast(sum(coalesce(insertions, 0)) as bigint) as insertions, cast(sum(coalesce(deletions, 0)) as bigint) as deletions from file_diffs group by sha",
     "q39_redactions": f"select source, cast(coalesce(sum(n), 0) as bigint) as redactions, count(*) filter (n > 0) as texts from (select source, {_count} as n from conversation_turns) group by source",
     "q41_files": f"with m as (select doc_id, unnest(list_slice(list_distinct_in_order, 1, 20)) as path from (select doc_id, list_filter(r, lambda x, i: list_position(r, x) = i) as list_distinct_in_order from (select doc_id, regexp_extract_all(text, '\\b{_NAMES}\\b') as r from documents))) select * from m",
-    "q42_section_signal": f"select doc_id, {_clamp(f'''0.45 + case when regexp_matches(text, '{_expl}') then 0.25 else 0 end + 0.1 - case when length(text) < 80 then 0.15 else 0 end''')} as signal from documents where kind = 'doc_section' and text is not null",
+    "q42_section_signal": f"select doc_id, {_clamp(f'''0.45 + case when regexp_matches(text, '{_expl}') then 0.25 else 0 end + case when doc_id % 7 = 0 then 0.1 else 0 end - case when regexp_extract(text, '^#{{1,6}} ([^\\r\\n]*)', 1) = '' then 0.1 else 0 end - case when length(text) < 80 then 0.15 else 0 end''')} as signal from documents where kind = 'doc_section' and text is not null",
     "q43_turn_signal": f"select turn_id, {_turn} as signal from (select turn_id, user_text, assistant_text as reply from conversation_turns where user_text is not null and assistant_text is not null)",
     "q44_command_signal": "select entry_id, " + _clamp(f"case when regexp_matches(trim(command), '{signals.NOISE}') then 0.1 when regexp_matches(trim(command), '{signals.RISKY}') or regexp_matches(trim(command), '{signals.DESTRUCTIVE}') then 0.75 when regexp_matches(trim(command), '{signals.INSTALL}') then 0.6 when regexp_matches(trim(command), '{signals.BUILD_TEST}') then 0.55 when regexp_matches(trim(command), '{signals.GIT}') then 0.2 else 0.35 end + case when exit_code is null then 0 when exit_code <> 0 then 0.25 else 0.05 end + case when length(trim(command)) > 60 then 0.05 when length(trim(command)) <= 3 then -0.05 else 0 end") + " as signal from hook_log where command is not null",
-    "q45_patch_signal": "select diff_id, " + _clamp(f"(0.8 + 0.1 - case when regexp_matches(file_path, '{signals.TEST_PATH}') then 0.1 else 0 end + case change_status when 'added' then 0.05 when 'deleted' then -0.1 else 0 end - case when insertions + deletions <= 2 then 0.05 else 0 end) * case when insertions + deletions > 400 then 0.75 else 1 end") + " as signal from file_diffs where not is_binary",
-    "q45_commit_signal": f"with n as ({LIVE_SQL}) select node_id, " + _clamp(f"{_weight.format(t='trim(title)')} + case when regexp_extract(trim(title), '{signals.HEADER}', 3) = '!' then 0.12 else 0 end + case when length(coalesce(body, '')) > 120 then 0.1 else 0 end - case when regexp_matches(title, '{signals.AUTOMATED}') then 0.15 else 0 end") + " as signal from n where kind = 'git_commit' and title is not null",
-    "q46_bands": f"with n as ({LIVE_SQL}) select kind, case when signal_score >= 0.55 then 'high' when signal_score >= 0.35 then 'medium' else 'low' end as band, count(*) as rows from n group by all",
+    "q45_patch_signal": "with n as (select project_id, min(title) as title from nodes where kind = 'git_commit' and title is not null group by project_id), d as (select f.*, coalesce(title, '') as t from file_diffs f left join n using (project_id) where not is_binary) select diff_id, "
+    + _clamp(f"({_weight.format(t='trim(t)')} + case when regexp_extract(trim(t), '{signals.HEADER}', 3) = '!' then 0.1 else 0 end - case when regexp_matches(file_path, '{signals.TEST_PATH}') then 0.1 else 0 end + case change_status when 'added' then 0.05 when 'deleted' then -0.1 else 0 end - case when insertions + deletions <= 2 then 0.05 else 0 end) * case when insertions + deletions > 400 then 0.75 else 1 end")
+    + " as signal from d",
+    "q45_commit_signal": f"with n as ({LIVE_SQL}), z as (select project_id, count(*) as files, sum(coalesce(insertions, 0) + coalesce(deletions, 0)) as churn from file_diffs group by project_id), c as (select n.*, coalesce(files, 0) as files, coalesce(churn, 0) as churn, {_weight.format(t='trim(title)')} + case when regexp_extract(trim(title), '{signals.HEADER}', 3) = '!' then 0.12 else 0 end + case when length(coalesce(body, '')) > 120 then 0.1 else 0 end as s from n left join z using (project_id) where kind = 'git_commit' and title is not null) select node_id, "
+    + _clamp(f"(case when contains(lower(title), 'merge') then least(s, 0.3) else s end - case when regexp_matches(title, '{signals.AUTOMATED}') then 0.15 else 0 end) * case when files > 100 or churn > 5000 then 0.75 else 1 end - case when files <= 1 and churn <= 3 then 0.05 else 0 end")
+    + " as signal from c",
     "q48_sessions": f"{_one} select session_key, count(*) as turns, min(ts) as started_at, max(ts) as ended_at, arg_min(cwd, (ts, turn_id)) filter (cwd is not null) as cwd, {_clamp('0.6 + least(0.25, count(*) / 100)')} as signal from t group by session_key",
     "q51_meta_json": f"with n as ({LIVE_SQL}) select node_id, cast(json_extract_string(meta, '$.exitCode') as int) as exit_code, json_extract_string(meta, '$.tsApprox') = 'true' as ts_approx from n where try_cast(json_extract_string(meta, '$.exitCode') as int) <> 0",
     "q52_tail": "select shell, entry_id, from_end from (select shell, entry_id, cast(row_number() over (partition by shell order by entry_id desc) - 1 as int) as from_end from shell_entries where command is not null) where from_end < 5",

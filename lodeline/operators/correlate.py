@@ -159,8 +159,8 @@ def q21_retry_links(spark, folder):
 
 
 def q22_null_cwd_links(spark, folder):
-    """Only runs without directory: a null one equals a null one."""
-    return retry_links(_runs(spark, folder).withColumn("dir_key", F.when(F.length("dir_key") > 30, None).otherwise(F.col("dir_key")))).agg(F.count(F.lit(1)).alias("links"))
+    """Links of all runs where long directories are taken for unknown: an unknown one equals an unknown one."""
+    return retry_links(_runs(spark, folder).withColumn("dir_key", F.when(F.length("dir_key") > 30, None).otherwise(F.col("dir_key"))))
 
 
 def q23_discussion_links(spark, folder):
@@ -173,14 +173,14 @@ def q24_chain_stats(spark, folder):
 
 
 def q25_resolutions(spark, folder):
-    """Each failure of the directory with most failures, followed by the success that resolved it."""
+    """The thirty latest failures (a report's list), newest first, each followed by the success that resolved it; links are as old as the success."""
     from lodeline.operators.retrieval import with_resolutions
 
     runs, links = _runs(spark, folder), q21_retry_links(spark, folder)
     name = lambda c: F.col(c).cast("string")
     top = runs.where("failed").orderBy(F.desc("at_ms"), "entry_id").limit(30)
     hits = top.select(name("entry_id").alias("node_id"), F.row_number().over(Window.orderBy(F.desc("at_ms"), "entry_id")).alias("position"))
-    linked = links.select(name("failure_id").alias("from_id"), name("success_id").alias("to_id"), F.lit("resolved_by_retry").alias("relation"), F.lit(0).alias("created_ms"))
+    linked = links.select(name("failure_id").alias("from_id"), name("success_id").alias("to_id"), F.lit("resolved_by_retry").alias("relation"), F.col("success_id").alias("created_ms"))
     return with_resolutions(hits, linked, runs.select(name("entry_id").alias("node_id")))
 
 
@@ -226,7 +226,7 @@ met as (select u.failure_id, p.node_id, p.t_ms, count(*) as met, round(sum(ln((t
 disc as (select failure_id, arg_min(node_id, (-score, t_ms, node_id)) as node_id from met join wanted using (failure_id) where met = wanted group by failure_id)"""
 SQL = {
     "q21_retry_links": f"with {_RUNS}, {_RETRY} select * from links",
-    "q22_null_cwd_links": f"with {_RUNS.replace('runs as', 'runs0 as')}, runs as (select * replace (case when length(dir_key) > 30 then null else dir_key end as dir_key) from runs0), {_RETRY} select count(*) as links from links",
+    "q22_null_cwd_links": f"with {_RUNS.replace('runs as', 'runs0 as')}, runs as (select * replace (case when length(dir_key) > 30 then null else dir_key end as dir_key) from runs0), {_RETRY} select * from links",
     "q23_discussion_links": f"with {_RUNS}, {_DISC} select * from disc",
     "q24_chain_stats": f"""with {_RUNS}, {_RETRY}, {_DISC} select count(*) as failures, count(*) filter (entry_id in (select failure_id from links)) as by_retry, count(*) filter (entry_id in (select failure_id from disc)) as by_discussion,
  count(*) filter (entry_id in (select failure_id from links) or entry_id in (select failure_id from disc)) as by_either from runs where failed""",

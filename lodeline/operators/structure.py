@@ -99,7 +99,7 @@ def import_edges(files: DataFrame, go_module: str | None = None) -> DataFrame:
     for language, pattern in KINDS.items():
         found = files.where(F.col("path").rlike(pattern)).select("project_id", F.col("path").alias("from_path"), F.explode(specifiers(F.col("text"), language)).alias("spec"))
         if language == "go":
-            rel = F.when(F.col("spec") == go_module, ".").when(F.col("spec").startswith(f"{go_module}/"), F.substring("spec", len(go_module or "") + 2, 10_000))
+            rel = F.when(F.col("spec") == go_module, ".").when(F.col("spec").startswith(f"{go_module}/"), F.substring("spec", F.lit(len(go_module or "") + 2), F.length("spec")))
             homes = tracked.where(F.col("to_path").endswith(".go") & ~F.col("to_path").endswith("_test.go")).withColumn("_d", directory(F.col("to_path")))
             edges = found.withColumn("_d", rel).join(homes, ["project_id", "_d"])
         elif language == "java":

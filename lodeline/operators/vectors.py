@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,16 +25,25 @@ def nearest(vectors: DataFrame, query: Column, n: int = 10, id_column: str = "ve
     return told.where("distance is not null").orderBy("distance", id_column).limit(n)
 
 
-def nearest_of_queries(vectors: DataFrame, queries: DataFrame, n: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+def nearest_of_queries(vectors: DataFrame, queries: DataFrame, n: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 256, most_queries: int = 50_000) -> DataFrame:
     """(query_id, id, distance, place): for each row of ``queries`` its ``n`` nearest others, exactly.
 
-    ``queries`` is a stated set of bounded size: it is broadcast in blocks, and every task keeps only
-    its ``n`` best per query before they are merged.
+    Queries are cut into sets of at most ``most_queries``, each broadcast by itself and met with all vectors,
+    so what is broadcast is bounded however many there are; every task keeps only its ``n`` best per query
+    before they are merged.
     """
-    import numpy as np
-
-    held = [(r[0], [float(x) for x in r[1]]) for r in queries.select(id_column, vector).where(f"{vector} is not null").toLocalIterator()]
-    told = queries.sparkSession.sparkContext.broadcast(([h[0] for h in held], np.array([h[1] for h in held], dtype=float)))
+    stated = queries.select(id_column, vector).where(f"{vector} is not null")
+    sets = -(-stated.count() // most_queries)
+    if sets > 1:
+        # each set by the hash of its ids: all are read once a set, none is left out
+        parts = [nearest_of_queries(vectors, stated.where(F.pmod(F.xxhash64(id_column), F.lit(sets)) == i), n, id_column, vector, block, 4 * most_queries) for i in range(sets)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    held = stated.toArrow()
+    ids, matrix = held[id_column].to_pylist(), np.array(held[vector].to_pylist(), dtype=float)
+    told = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = told.value
@@ -42,12 +52,14 @@ def nearest_of_queries(vectors: DataFrame, queries: DataFrame, n: int, id_column
             if not len(frame) or not len(ids):
                 continue
             rows, keys = np.array(frame[vector].tolist(), dtype=float), frame[id_column].to_numpy()
+            found = []
             for low in range(0, len(ids), block):
                 d = np.sqrt(((matrix[low : low + block, None, :] - rows[None, :, :]) ** 2).sum(axis=2)) if len(rows) * block < 4_000_000 else np.stack([np.sqrt(((rows - q) ** 2).sum(axis=1)) for q in matrix[low : low + block]])
                 for i, line in enumerate(d):
                     line = np.where(keys == ids[low + i], np.inf, line)
                     k = np.lexsort((keys, np.round(line, 6)))[:n]
-                    yield pd.DataFrame({"query_id": ids[low + i], "id": keys[k], "distance": np.round(line[k], 6)})
+                    found.append((np.full(len(k), ids[low + i], dtype=keys.dtype), keys[k], np.round(line[k], 6)))
+            yield pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "id": np.concatenate([f[1] for f in found]), "distance": np.concatenate([f[2] for f in found])})
 
     kind = vectors.schema[id_column].dataType.simpleString()
     some = vectors.select(id_column, vector).mapInPandas(best, f"query_id {kind}, id {kind}, distance double").where("distance < double('infinity')")
@@ -73,12 +85,27 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float] | No
                 out = embed(part[text].fillna("").tolist())
                 dead = dead + 1 if all(v is None for v in out) else 0
                 kept = [v is not None for v in out]
+                if not any(kept):
+                    continue
                 yield pd.DataFrame({id_column: part[id_column][kept].to_numpy(), "embedding": [v for v in out if v is not None]})
 
     kind = rows.schema[id_column].dataType.simpleString()
     return rows.select(id_column, text).mapInPandas(run, f"{id_column} {kind}, embedding array<double>")
 
 
+def embedding_pass(rows: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], stored_identity: str | None, identity: str, most: int | None = None, id_column: str = "node_id", text: str = "body") -> tuple[DataFrame, DataFrame]:
+    """The vectors after one run of a model over rows that have none, and (remaining): how many are still without.
+
+    Vectors of another provider are dropped first; at most ``most`` rows are taken, by id; a text the model gives nothing
+    for remains, and is asked again by the next run.
+    """
+    valid = still_valid(vectors, stored_identity, identity)
+    todo = pending(rows, valid, id_column)
+    told = embedded(todo if most is None else todo.orderBy(id_column).limit(most), embed, id_column, text)
+    after = valid.select(id_column, F.col("embedding").cast("array<double>").alias("embedding")).unionByName(told)
+    return after, pending(rows, after, id_column).agg(F.count(F.lit(1)).alias("remaining"))
+
+
 def fake_embedding(texts: list[str], size: int = 16) -> list[list[float] | None]:
     """A stand-in for a model: letters counted by place. None for blank texts."""
     out: list[list[float] | None] = []
@@ -113,7 +140,7 @@ def q10_knn_project(spark, folder):
 
 
 def q11_nearest_newer(spark, folder):
-    """For each tenth vector the nearest of those that came later (a larger id)."""
+    """For each twentieth vector the nearest of those that came later (a larger id)."""
     v = table(spark, folder, "embeddings")
     pairs = nearest_of_queries(v, v.where("vec_id % 20 = 0"), 25).where("id > query_id")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))

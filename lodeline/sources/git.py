@@ -101,7 +101,8 @@ def _records(spark: SparkSession, repositories: list[str], args: list[str], batc
                     if len(held) == batch:
                         yield pd.DataFrame({"repository": repository, "record": held})
                         held = []
-                yield pd.DataFrame({"repository": [repository] * len(held), "record": held})
+                if held:
+                    yield pd.DataFrame({"repository": repository, "record": held})
 
     listed = spark.createDataFrame([(r,) for r in repositories], "repository string").repartition(len(repositories))
     return listed.mapInPandas(read, "repository string, record string")
