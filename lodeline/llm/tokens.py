@@ -47,46 +47,89 @@ def word_table(documents: DataFrame, text: str = "text", path: str | None = None
     return counts.select("word", "n", encode("word").alias("ids"))
 
 
-def _placed(documents: DataFrame, columns: list[str], text: str, path: str | None) -> tuple[DataFrame, DataFrame]:
-    """(columns, _pos, _ids) of the words of ``text``, each with the ids of its word: those found by broadcast, and the others.
+class _Vocabulary:
+    """The distinct words of all documents in two parts: ``head``, frequent and short, small enough to broadcast; and the others.
 
-    Frequent words, of which there can be at most ``HEAD_WORDS``, are broadcast if they are short. Frequent
-    longer ones are known by their hashes, of which there are no more, and spread over ``SALTS``
-    tasks. No other word is frequent enough to be hot. A text without words gives one row without ids.
+    Of the others, frequent longer ones are known by their hashes, of which there are at most ``HEAD_WORDS``,
+    and spread over ``SALTS`` tasks. No other word is frequent enough to be hot.
     """
-    named = documents.select(*columns, F.col(text).alias("_text"))
-    table_ = cut(word_table(named, text="_text", path=path))
-    total = table_.agg(F.sum("n")).first()[0] or 0
-    frequent, short = F.col("n") * HEAD_WORDS >= total, F.length("word") <= HEAD_CHARS
-    head = table_.where(frequent & short).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    hot = F.broadcast(table_.where(frequent & ~short).select(F.xxhash64("word").alias("_hash")).distinct().withColumn("_hot", F.lit(True)))
-    tail = table_.where(~(frequent & short)).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"), F.xxhash64("word").alias("_hash")).join(hot, "_hash", "left")
-    tail = tail.select("_word", "_ids", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    words = F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(WORDS), F.lit(0))
-    placed = named.select(*columns, F.posexplode_outer(words).alias("_pos", "_word"))
-    near = placed.join(F.broadcast(head), "_word", "left")
-    known = near.where("_ids is not null or _word is null").select(*columns, "_pos", "_ids")
-    rare = near.where("_ids is null and _word is not null").select(*columns, "_pos", "_word").withColumn("_hash", F.xxhash64("_word")).join(hot, "_hash", "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns, "_pos"), F.lit(SALTS)).cast("int")).otherwise(0)
-    found = rare.select(*columns, "_pos", "_word", salt.alias("_salt")).join(tail, ["_word", "_salt"]).select(*columns, "_pos", "_ids")
-    return known, found
+
+    def __init__(self, documents: DataFrame, text: str, path: str | None):
+        self.table = cut(word_table(documents, text=text, path=path))
+        total = self.table.agg(F.sum("n")).first()[0] or 0
+        frequent, short = F.col("n") * HEAD_WORDS >= total, F.length("word") <= HEAD_CHARS
+        self.head = self.table.where(frequent & short).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
+        self.hot = F.broadcast(self.table.where(frequent & ~short).select(F.xxhash64("word").alias("_hash")).distinct().withColumn("_hot", F.lit(True)))
+        self.tail = self.table.where(~(frequent & short))
+
+    def with_ids(self, words: DataFrame, columns: list[str]) -> DataFrame:
+        """(columns, _ids) of rows (columns, _word) whose words are none of the head."""
+        tail = self.tail.select(F.col("word").alias("_word"), F.col("ids").alias("_ids"), F.xxhash64("word").alias("_hash")).join(self.hot, "_hash", "left")
+        salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        marked = words.withColumn("_hash", F.xxhash64("_word")).join(self.hot, "_hash", "left")
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(0)
+        return marked.select(*columns, "_word", salt.alias("_salt")).join(tail.select("_word", "_ids", F.explode(salts).alias("_salt")), ["_word", "_salt"]).select(*columns, "_ids")
+
+
+def _words(text: str):
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
+
+
+def _each_once(documents: DataFrame) -> DataFrame:
+    """(_id, _t) with one row per id: only rows whose id repeats are brought together."""
+    again = cut(documents.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_id").alias("_again")))
+    if again.isEmpty():
+        return documents
+    same = F.col("_id").eqNullSafe(F.col("_again"))
+    return documents.join(again, same, "left_anti").unionByName(documents.join(again, same, "left_semi").dropDuplicates(["_id"]))
 
 
 def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id_column, ids): the token ids of each document's whole text, without special tokens.
 
     Empty and null texts get an empty list. Strings that look like special tokens are ordinary text.
-    Texts are split into words by Spark, every distinct word is encoded once, and the ids are joined
-    back by position. Rows that repeat an id with the same text give one row; an id with several texts
-    has no defined order of texts and must not occur; a null id is one document. Other columns
-    aren't read.
+    Texts are split into words by Spark and every distinct word is encoded once. The ids of frequent words, of
+    which there are at most ``HEAD_WORDS`` short ones, are put in their places where the text is read; only the
+    other words are shuffled, and come back by position to the documents that hold them. Rows that repeat
+    an id with the same text give one row; an id with several texts has no defined one and must not
+    occur; a null id is one document. Other columns aren't read.
     """
-    known, found = _placed(documents.select(F.col(id_column).alias("_id"), F.col(text).alias("_t")), ["_id"], "_t", path)
-    gathered = known.unionByName(found).groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_rows"))
-    # Repeated rows of a document bring each position several times, next to each other.
-    once = F.filter("_rows", lambda r, i: (i == 0) | (F.get(F.col("_rows"), i - 1)["_pos"] != r["_pos"]))
-    listed = gathered.select("_id", F.transform(once, lambda r: r["_ids"]).alias("_lists"))
-    return listed.select(F.col("_id").alias(id_column), F.flatten(F.filter("_lists", lambda x: x.isNotNull())).alias("ids"))
+    own = _each_once(documents.select(F.col(id_column).alias("_id"), F.col(text).alias("_t")))
+    vocabulary = _Vocabulary(own, "_t", path)
+    held = vocabulary.head.toArrow()
+    told = documents.sparkSession.sparkContext.broadcast(dict(zip(held["_word"].to_pylist(), held["_ids"].to_pylist(), strict=True)))
+
+    def place(frames):
+        """The ids known here, where the others belong among them, and the others' words."""
+        known = told.value.get
+        for frame in frames:
+            rows = []
+            for words in frame["_words"]:
+                ids, gaps, others = [], [], []
+                for word in words:
+                    if (found := known(word)) is None:
+                        gaps.append(len(ids))
+                        others.append(word)
+                    else:
+                        ids += found
+                rows.append((ids, gaps, others))
+            out = pd.DataFrame(rows, columns=["_ids", "_gaps", "_others"], dtype=object)
+            out.insert(0, "_id", frame["_id"].to_numpy())
+            yield out
+
+    kind = own.schema["_id"].dataType.simpleString()
+    placed = cut(own.select("_id", _words("_t").alias("_words")).mapInPandas(place, f"_id {kind}, _ids array<int>, _gaps array<int>, _others array<string>"))
+    part = placed.where(F.size("_gaps") > 0)
+    each = part.select("_id", F.posexplode("_others").alias("_no", "_word"))
+    rare = vocabulary.with_ids(each, ["_id", "_no"])
+    gathered = rare.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_no", "_ids"))).alias("_rows")).select(F.col("_id").alias("_key"), F.transform("_rows", lambda r: r["_ids"]).alias("_found"))
+    both = part.select("_id", "_ids", "_gaps").join(gathered, F.col("_id").eqNullSafe(F.col("_key")))
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("_gaps"), i - 1))
+    pieces_ = F.transform("_gaps", lambda g, i: F.concat(F.slice("_ids", start(i) + 1, g - start(i)), F.get(F.col("_found"), i)))
+    last = F.element_at("_gaps", -1)
+    whole = F.concat(F.flatten(pieces_), F.slice("_ids", last + 1, F.size("_ids")))
+    out = placed.where(F.size("_gaps") == 0).select("_id", "_ids").unionByName(both.select("_id", whole.alias("_ids")))
+    return out.select(F.col("_id").alias(id_column), F.col("_ids").alias("ids"))
 
 
 def token_counts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
@@ -96,7 +139,10 @@ def token_counts(documents: DataFrame, id_column: str = "doc_id", text: str = "t
     """
     columns = ["doc_id", "source"]
     named = documents.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_t"))
-    known, found = _placed(named, columns, "_t", path)
+    vocabulary = _Vocabulary(named, "_t", path)
+    near = named.select(*columns, F.posexplode_outer(_words("_t")).alias("_pos", "_word")).join(F.broadcast(vocabulary.head), "_word", "left")
+    known = near.where("_ids is not null or _word is null").select(*columns, "_pos", "_ids")
+    found = vocabulary.with_ids(near.where("_ids is null and _word is not null").select(*columns, "_pos", "_word"), [*columns, "_pos"])
     copies = F.greatest(F.count(F.when(F.coalesce("_pos", F.lit(0)) == 0, 1)), F.lit(1))
     sums = known.unionByName(found).groupBy(*columns).agg(F.sum(F.coalesce(F.size("_ids"), F.lit(0)).cast("bigint")).alias("_n"), copies.alias("_copies"))
     return sums.select(*columns, (F.greatest("_n", F.lit(0)) / F.col("_copies")).cast("bigint").alias("n_tokens"))
