@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.text import normalised_command
 from lodeline.functions.times import with_instant
-from lodeline.operators.lexical import LIVE_SQL, live_nodes, words, words_sql
+from lodeline.operators.lexical import _SYNTAX, B, FREQUENT, K1, LEAST_CORPUS, LIVE_SQL, TITLE_WEIGHT, live_nodes, words, words_sql
 from lodeline.operators.sessions import directory_key
 from lodeline.operators.vectors import nearest_of_queries
 from lodeline.tables import table
@@ -40,29 +40,67 @@ def retry_links(runs: DataFrame, window_ms: int = DAY_MS) -> DataFrame:
     return found.select(F.col("entry_id").alias("failure_id"), F.col("_s.entry_id").alias("success_id"))
 
 
-def discussion_links(failures: DataFrame, talk: DataFrame, window_ms: int = DAY_MS, frequent: float = 0.2) -> DataFrame:
-    """(failure_id, node_id): each failure with the best text in (t, t + window] that holds all its command's words.
+def command_phrases(command: Column) -> Column:
+    """The distinct terms of a command as words with a blank before each: tokens without search syntax, ``id`` only where there is nothing else."""
+    tokens = F.filter(F.split(F.regexp_replace(command, _SYNTAX.pattern, " "), r"\s+"), lambda t: t != "")
+    kept = F.filter(tokens, lambda t: F.lower(t) != "id")
+    tokens = F.when(F.size(kept) > 0, kept).otherwise(tokens)
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.concat(F.lit(" "), F.array_join(words(t), " "))), lambda p: p != " "))
 
-    ``failures`` (failure_id, at_ms, command), ``talk`` (node_id, at_ms, text). Words in more than a fifth
-    of all texts don't count; a failure left without words has no link. The score is the sum of the
-    words' inverse document frequencies over the text's length; ties go to the earlier, then smaller id.
-    Texts are joined by their rarest words first: on (word, stretch of time), with the words of a failure
-    counted afterwards.
+
+def discussion_links(failures: DataFrame, talk: DataFrame, window_ms: int = DAY_MS, frequent: float = FREQUENT) -> DataFrame:
+    """(failure_id, node_id): each failure with the best text of its project in (t, t + window] that holds all terms of its command.
+
+    ``failures`` (failure_id, project_id, at_ms, command), ``talk`` (node_id, project_id, at_ms, title, body); projects are
+    compared null-safely. A term is the words of one token side by side, the last as a prefix; terms in more than a
+    fifth of a project's texts, if it has ten, don't count, and a failure left without terms has no link. The
+    best text is that of the highest BM25 over the project's texts, titles weighing ten times; ties go to the
+    earlier, then the smaller id.
+
+    Distinct terms meet distinct words once; a failure's candidates are the texts of its rarest term in its stretch
+    of time, whose other terms are then looked up in the text's own: a term is in at most a fifth of all
+    texts and spread by time, so no key is hot.
     """
+    project = lambda: F.coalesce("project_id", F.lit("\0")).alias("project")
+    asked = failures.select("failure_id", project(), F.col("at_ms").alias("f_ms"), "command")
+    commands_ = asked.select("project", "command").distinct().withColumn("_p", command_phrases(F.col("command")))
+    terms = commands_.select("project", F.explode("_p").alias("p")).distinct()
+    told = talk.select("node_id", project(), F.col("at_ms").alias("t_ms"), words(F.col("title")).alias("_t"), words(F.col("body")).alias("_b"))
+    told = told.withColumn("len", (F.size("_t") + F.size("_b")).cast("double"))
+    sizes = told.groupBy("project").agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg("len").alias("avg_len"))
+    one = lambda field, t, b: F.transform(field, lambda w: F.struct(w.alias("word"), F.lit(t).alias("t"), F.lit(b).alias("b")))
+    posts = told.select("node_id", "project", F.inline(F.concat(one("_t", 1, 0), one("_b", 0, 1)))).groupBy("node_id", "project", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    # Single words are prefixes of words; of several, the first is found as it stands and the rest is looked for in the text.
+    single = ~F.substring("p", 2, 1 << 30).contains(" ")
+    vocabulary = posts.select("project", "word").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), n)))
+    means = vocabulary.select("project", "word", F.explode(prefixes).alias("p")).join(terms.where(single), ["project", "p"])
+    by_word = posts.join(means, ["project", "word"]).groupBy("project", "p", "node_id").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    several = terms.where(~single).withColumn("word", F.substring_index(F.substring("p", 2, 1 << 30), " ", 1))
+    text = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    times = lambda c: ((F.length(text(c)) - F.length(F.replace(text(c), F.col("p"), F.lit("")))) / F.length("p")).cast("bigint")
+    near = posts.join(several, ["project", "word"]).select("project", "p", "node_id").join(told.select("node_id", "_t", "_b"), "node_id")
+    by_text = near.select("project", "p", "node_id", times("_t").alias("t"), times("_b").alias("b")).where("t + b > 0")
+    met = by_word.unionByName(by_text)
+    df = met.groupBy("project", "p").agg(F.count(F.lit(1)).alias("df"))
+    rated = terms.join(df, ["project", "p"], "left").fillna(0, ["df"]).join(sizes, "project").where((F.col("total") < LEAST_CORPUS) | (F.col("df") / F.col("total") <= frequent))
+    rated = rated.withColumn("idf", F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)))
+    wanted = commands_.select("project", "command", F.explode("_p").alias("p")).join(rated.select("project", "p", "df"), ["project", "p"]).groupBy("project", "command").agg(
+        F.min(F.struct("df", "p"))["p"].alias("rarest"), F.collect_set("p").alias("all")
+    )
+    weight = F.col("t") * TITLE_WEIGHT + F.col("b")
+    texts = told.select("node_id", "t_ms", "len")
+    scored = met.join(rated, ["project", "p"]).join(texts, "node_id").select(
+        "project", "p", "node_id", "t_ms", (F.col("idf") * weight * (K1 + 1) / (weight + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s")
+    )
+    holds = scored.groupBy("project", "node_id", "t_ms").agg(F.collect_list(F.struct("p", "s")).alias("has"))
     stretch = lambda c: F.floor(c / window_ms)
-    terms = failures.select("failure_id", F.col("at_ms").alias("f_ms"), F.explode(F.array_distinct(words(F.col("command")))).alias("term"))
-    said = talk.select("node_id", F.col("at_ms").alias("t_ms"), F.array_distinct(words(F.col("text"))).alias("_w"), F.size(words(F.col("text"))).alias("len"))
-    posts = said.select("node_id", "t_ms", "len", F.explode("_w").alias("term"))
-    total = said.agg(F.count(F.lit(1)).alias("total"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
-    useful = terms.join(df, "term", "left").where(f"df is null or total < 10 or df / total <= {frequent}")
-    wanted = useful.groupBy("failure_id").agg(F.count(F.lit(1)).alias("wanted"))
-    rare = useful.where("df is not null").withColumn("_b", F.explode(F.array(stretch(F.col("f_ms")), stretch(F.col("f_ms")) + 1)))
-    near = rare.join(posts.withColumn("_b", stretch(F.col("t_ms"))), ["term", "_b"]).where((F.col("t_ms") > F.col("f_ms")) & (F.col("t_ms") <= F.col("f_ms") + window_ms))
-    idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    met = near.groupBy("failure_id", "node_id", "t_ms").agg(F.count(F.lit(1)).alias("met"), F.round(F.sum(idf / (1 + F.col("len") / 50)), 6).alias("score"))
-    full = met.join(wanted, "failure_id").where("met = wanted")
-    best = F.min_by("node_id", F.struct((-F.col("score")).alias("s"), "t_ms", "node_id"))
+    open_ = asked.join(wanted, ["project", "command"]).withColumn("_b", F.explode(F.array(stretch(F.col("f_ms")), stretch(F.col("f_ms")) + 1)))
+    offered = holds.withColumn("rarest", F.explode(F.transform("has", lambda h: h["p"]))).withColumn("_b", stretch(F.col("t_ms")))
+    pairs = open_.join(offered, ["project", "rarest", "_b"]).where((F.col("t_ms") > F.col("f_ms")) & (F.col("t_ms") <= F.col("f_ms") + window_ms))
+    full = pairs.where(F.size(F.array_except("all", F.transform("has", lambda h: h["p"]))) == 0)
+    score = F.round(F.aggregate(F.array_sort(F.filter("has", lambda h: F.array_contains("all", h["p"]))), F.lit(0.0), lambda x, h: x + h["s"]), 6)
+    best = F.min_by("node_id", F.struct((-score).alias("s"), "t_ms", "node_id"))
     return full.groupBy("failure_id").agg(best.alias("node_id"))
 
 
@@ -146,12 +184,12 @@ def _runs(spark, folder):
 
 
 def _failures(spark, folder):
-    return _runs(spark, folder).where("failed").select(F.col("entry_id").alias("failure_id"), "at_ms", F.col("command_key").alias("command"))
+    return _runs(spark, folder).where("failed").select(F.col("entry_id").alias("failure_id"), "at_ms", F.col("command_key").alias("command"), F.col("dir_key").alias("project_id"))
 
 
 def _talk(spark, folder):
     t = with_instant(table(spark, folder, "conversation_turns"), F.col("ts"), "at_ms").where("at_ms is not null")
-    return t.select(F.col("turn_id").alias("node_id"), "at_ms", F.concat_ws("\n", "user_text", "assistant_text").alias("text"))
+    return t.select(F.col("turn_id").alias("node_id"), "at_ms", F.col("user_text").alias("title"), F.col("assistant_text").alias("body"), directory_key(F.col("cwd")).alias("project_id"))
 
 
 def q21_retry_links(spark, folder):
@@ -164,12 +202,23 @@ def q22_null_cwd_links(spark, folder):
 
 
 def q23_discussion_links(spark, folder):
+    """Failures with talk of any directory, as of one project."""
+    return discussion_links(*_one_project(spark, folder))
+
+
+def q23_project_links(spark, folder):
+    """Failures with talk of the same directory."""
     return discussion_links(_failures(spark, folder), _talk(spark, folder))
 
 
+def _one_project(spark, folder):
+    one = lambda df: df.withColumn("project_id", F.lit("p"))
+    return one(_failures(spark, folder)), one(_talk(spark, folder))
+
+
 def q24_chain_stats(spark, folder):
     f = _failures(spark, folder)
-    return chain_stats(f, q21_retry_links(spark, folder), discussion_links(f, _talk(spark, folder)))
+    return chain_stats(f, q21_retry_links(spark, folder), q23_discussion_links(spark, folder))
 
 
 def q25_resolutions(spark, folder):
@@ -217,17 +266,35 @@ _RUNS = rf"""runs as (select entry_id, {_INSTANT.format(c='ts')} as at_ms, lower
  from hook_log, {_P} where command is not null and exit_code is not null and regexp_matches(trim(ts), p))"""
 _RETRY = """links as (select f.entry_id as failure_id, arg_min(s.entry_id, (s.at_ms, s.entry_id)) as success_id from runs f join runs s on f.command_key = s.command_key and f.dir_key is not distinct from s.dir_key
  and s.at_ms > f.at_ms and s.at_ms <= f.at_ms + 86400000 where f.failed and not s.failed group by f.entry_id)"""
-_DISC = rf"""talk as (select turn_id as node_id, {_INSTANT.format(c='ts')} as t_ms, {words_sql("coalesce(user_text || chr(10), '') || coalesce(assistant_text, '')")} as w from conversation_turns, {_P} where regexp_matches(trim(ts), p)),
-posts as (select distinct node_id, t_ms, len(w) as len_, unnest(w) as term from talk), tot as (select count(*) as total from talk), df as (select term, count(*) as df from posts group by term),
-terms as (select distinct entry_id as failure_id, at_ms as f_ms, unnest({words_sql('command_key')}) as term from runs where failed),
-useful as (select t.*, df, total from terms t left join df using (term), tot where df is null or total < 10 or df / total <= 0.2),
-wanted as (select failure_id, count(*) as wanted from useful group by failure_id),
-met as (select u.failure_id, p.node_id, p.t_ms, count(*) as met, round(sum(ln((total - df + 0.5) / (df + 0.5) + 1) / (1 + len_ / 50)), 6) as score from useful u join posts p on u.term = p.term and p.t_ms > f_ms and p.t_ms <= f_ms + 86400000 group by all),
-disc as (select failure_id, arg_min(node_id, (-score, t_ms, node_id)) as node_id from met join wanted using (failure_id) where met = wanted group by failure_id)"""
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(command_key, '[\"''()*:^{}\[\]-]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+def _disc_sql(project: str) -> str:
+    """Discussion links by comparing every term with every text."""
+    phrase = f"' ' || array_to_string({words_sql('x')}, ' ')"
+    times = lambda c: f"cast((length({c}) - length(replace({c}, p, ''))) / length(p) as bigint)"
+    return rf"""talk as (select turn_id as node_id, {project.format(c='cwd')} as project, {_INSTANT.format(c='ts')} as t_ms, {words_sql('user_text')} as wt, {words_sql('assistant_text')} as wb from conversation_turns, {_P} where regexp_matches(trim(ts), p)),
+spaced as (select *, ' ' || array_to_string(wt, ' ') || ' ' as st, ' ' || array_to_string(wb, ' ') || ' ' as sb, cast(len(wt) + len(wb) as double) as len_ from talk),
+tot as (select project, count(*) as total, avg(len_) as avg_len from spaced group by project),
+asked as (select entry_id as failure_id, at_ms as f_ms, {project.format(c='dir_key')} as project, command_key, {_TOKENS} as toks from runs where failed),
+terms as (select distinct failure_id, f_ms, project, p from (select *, unnest(list_transform(case when len(list_filter(toks, lambda x: lower(x) <> 'id')) > 0 then list_filter(toks, lambda x: lower(x) <> 'id') else toks end, lambda x: {phrase})) as p from asked) where p <> ' '),
+met as (select * from (select d.p, s.project, node_id, t_ms, len_, {times('st')} as t, {times('sb')} as b from (select distinct project, p from terms) d join spaced s on d.project is not distinct from s.project) where t + b > 0),
+df as (select project, p, count(*) as df from met group by all),
+rated as (select d.project, d.p, coalesce(df, 0) as df, total, avg_len from (select distinct project, p from terms) d join tot on d.project is not distinct from tot.project left join df on d.project is not distinct from df.project and d.p = df.p
+  where total < {LEAST_CORPUS} or coalesce(df, 0) / total <= {FREQUENT}),
+useful as (select t.*, df, total, avg_len from terms t join rated r on t.project is not distinct from r.project and t.p = r.p), wanted as (select failure_id, count(*) as wanted from useful group by failure_id),
+pairs as (select u.failure_id, m.node_id, m.t_ms, count(*) as met, round(sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * (t * {TITLE_WEIGHT} + b) * {K1 + 1} / ((t * {TITLE_WEIGHT} + b) + {K1} * (1 - {B} + {B} * len_ / avg_len))), 6) as score
+  from useful u join met m on u.p = m.p and u.project is not distinct from m.project and m.t_ms > f_ms and m.t_ms <= f_ms + 86400000 group by all),
+disc as (select failure_id, arg_min(node_id, (-score, t_ms, node_id)) as node_id from pairs join wanted using (failure_id) where met = wanted group by failure_id)"""
+
+
+_DIRECTORY = r"lower(regexp_replace(replace({c}, '\', '/'), '/+$', ''))"
+_DISC = _disc_sql("'p'")
 SQL = {
     "q21_retry_links": f"with {_RUNS}, {_RETRY} select * from links",
     "q22_null_cwd_links": f"with {_RUNS.replace('runs as', 'runs0 as')}, runs as (select * replace (case when length(dir_key) > 30 then null else dir_key end as dir_key) from runs0), {_RETRY} select * from links",
     "q23_discussion_links": f"with {_RUNS}, {_DISC} select * from disc",
+    "q23_project_links": f"with {_RUNS}, {_disc_sql(_DIRECTORY)} select * from disc",
     "q24_chain_stats": f"""with {_RUNS}, {_RETRY}, {_DISC} select count(*) as failures, count(*) filter (entry_id in (select failure_id from links)) as by_retry, count(*) filter (entry_id in (select failure_id from disc)) as by_discussion,
  count(*) filter (entry_id in (select failure_id from links) or entry_id in (select failure_id from disc)) as by_either from runs where failed""",
     "q29_stale": f"""with n as ({LIVE_SQL}) select node_id, kind, cast(round(({NOW_MS} - ts_epoch) / 86400000.0) as bigint) as age_days from n where coalesce(provenance, 'inferred') <> 'observed' and ts_epoch < {NOW_MS} - 45 * 86400000::bigint
