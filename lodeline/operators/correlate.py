@@ -12,7 +12,7 @@ from lodeline.functions.times import with_instant
 from lodeline.operators.lexical import _SYNTAX, B, FREQUENT, K1, LEAST_CORPUS, LIVE_SQL, TITLE_WEIGHT, live_nodes, words, words_sql
 from lodeline.operators.sessions import directory_key
 from lodeline.operators.vectors import nearest_of_queries
-from lodeline.tables import table
+from lodeline.tables import cut, table
 
 DAY_MS = 86_400_000
 STALE_DAYS, RISK_DAYS, RISK_COMMITS = 45, 30, 4
@@ -66,10 +66,11 @@ def discussion_links(failures: DataFrame, talk: DataFrame, window_ms: int = DAY_
     commands_ = asked.select("project", "command").distinct().withColumn("_p", command_phrases(F.col("command")))
     terms = commands_.select("project", F.explode("_p").alias("p")).distinct()
     told = talk.select("node_id", project(), F.col("at_ms").alias("t_ms"), words(F.col("title")).alias("_t"), words(F.col("body")).alias("_b"))
-    told = told.withColumn("len", (F.size("_t") + F.size("_b")).cast("double"))
+    # Words, postings and matches are read several times: each is made once.
+    told = cut(told.withColumn("len", (F.size("_t") + F.size("_b")).cast("double")))
     sizes = told.groupBy("project").agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg("len").alias("avg_len"))
     one = lambda field, t, b: F.transform(field, lambda w: F.struct(w.alias("word"), F.lit(t).alias("t"), F.lit(b).alias("b")))
-    posts = told.select("node_id", "project", F.inline(F.concat(one("_t", 1, 0), one("_b", 0, 1)))).groupBy("node_id", "project", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    posts = cut(told.select("node_id", "project", F.inline(F.concat(one("_t", 1, 0), one("_b", 0, 1)))).groupBy("node_id", "project", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
     # Single words are prefixes of words; of several, the first is found as it stands and the rest is looked for in the text.
     single = ~F.substring("p", 2, 1 << 30).contains(" ")
     vocabulary = posts.select("project", "word").distinct()
@@ -81,7 +82,7 @@ def discussion_links(failures: DataFrame, talk: DataFrame, window_ms: int = DAY_
     times = lambda c: ((F.length(text(c)) - F.length(F.replace(text(c), F.col("p"), F.lit("")))) / F.length("p")).cast("bigint")
     near = posts.join(several, ["project", "word"]).select("project", "p", "node_id").join(told.select("node_id", "_t", "_b"), "node_id")
     by_text = near.select("project", "p", "node_id", times("_t").alias("t"), times("_b").alias("b")).where("t + b > 0")
-    met = by_word.unionByName(by_text)
+    met = cut(by_word.unionByName(by_text), posts)
     df = met.groupBy("project", "p").agg(F.count(F.lit(1)).alias("df"))
     rated = terms.join(df, ["project", "p"], "left").fillna(0, ["df"]).join(sizes, "project").where((F.col("total") < LEAST_CORPUS) | (F.col("df") / F.col("total") <= frequent))
     rated = rated.withColumn("idf", F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)))
