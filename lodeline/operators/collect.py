@@ -362,3 +362,8 @@ SQL["q72_summaries"] = "select * from (values " + ", ".join(
 _end = r"""(epoch_ms(try_cast(replace(substr(ended_at, 1, 19), 'T', ' ') as timestamp)) + coalesce(try_cast(substr(rpad(regexp_extract(ended_at, '\.(\d+)', 1), 3, '0'), 1, 3) as bigint), 0)
  - case when ends_with(ended_at, 'Z') then 0 else (case when substr(ended_at, -6, 1) = '-' then -1 else 1 end) * (cast(substr(ended_at, -5, 2) as bigint) * 60 + cast(right(ended_at, 2) as bigint)) * 60000 end)"""
 SQL["q49_settled"] = f"{_one}, s as (select session_key, max(ts) as ended_at from t group by session_key) select session_key, ended_at from s where case when regexp_matches(ended_at, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)$') then {_end} <= 1521500000000 - 1800000 else true end"
+SQL["q50_prompt_turns"] = f"""{_one.replace('with t as', 'with recursive t as')}, p as (select session_key, turn_id, ts, length(case when length(user_text) > 400 then regexp_replace(substr(user_text, 1, 399), '{_ws}+$', '') || '…' else user_text end) as n, {_turn} as signal
+ from (select *, coalesce(assistant_text, '') as reply from t) where user_text is not null), o as (select session_key, turn_id, n, row_number() over (partition by session_key order by signal desc, ts nulls first, turn_id) as i from p),
+f as (select session_key, 0::bigint as i, 0::bigint as used, null::bigint as id from (select distinct session_key from o)
+ union all select f.session_key, o.i, case when used + n <= 900 then used + n else used end, case when used + n <= 900 then turn_id end from f join o on f.session_key is not distinct from o.session_key and o.i = f.i + 1)
+select session_key, id from f where id is not null"""

@@ -310,3 +310,13 @@ SQL["q25_resolutions"] = f"""with {_RUNS}, {_RETRY}, top as (select entry_id, ro
 far as (select success_id, min((position, failure_id)) as first from links join top on failure_id = entry_id where success_id not in (select entry_id from top) group by success_id),
 al as (select cast(entry_id as varchar) as node_id, position, 0 as sub, null as pulled_by, null as other from top union all select cast(success_id as varchar), first[1], 1, cast(first[2] as varchar), cast(success_id as varchar) from far)
 select node_id, cast(row_number() over (order by position, sub, other) as int) as position, pulled_by from al"""
+_SINCE = PATCH_NOW_MS - RISK_DAYS * DAY_MS
+SQL["q28_file_risk"] = rf"""with {_RUNS}, {_RETRY}, f as (select entry_id, at_ms, {words_sql('command_key')} as said from runs where failed), tot as (select count(*) as total from f),
+nm as (select path, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[a-zA-Z0-9]+$', '')), '[^a-z0-9]+'), lambda x: x <> '')) as ws from (select distinct file_path as path from file_diffs)),
+nk as (select path, case when len(list_filter(ws, lambda x: x <> 'id')) > 0 then list_filter(ws, lambda x: x <> 'id') else ws end as ws from nm), dw as (select distinct unnest(ws) as w from nk),
+hits as (select w, entry_id, at_ms from dw join f on len(list_filter(said, lambda x: starts_with(x, w))) > 0), df as (select w, count(*) as df from hits group by w),
+kept as (select dw.w from dw left join df on dw.w = df.w, tot where total < 10 or coalesce(df, 0) / total <= 0.2), want as (select n.path, n.w from (select path, unnest(ws) as w from nk) n join kept on n.w = kept.w),
+wc as (select path, count(*) as n from want group by path), met as (select path, entry_id, count(*) as m from want join hits on want.w = hits.w where at_ms >= {_SINCE} and entry_id not in (select failure_id from links) group by all),
+fl as (select met.path, count(*) as failures from met join wc on met.path = wc.path where m = n group by met.path),
+cm as (select path, count(distinct sha) as commits from (select file_path as path, sha, {_INSTANT.format(c='authored_at')} as at_ms from file_diffs, {_P} where regexp_matches(trim(authored_at), p)) where at_ms >= {_SINCE} group by path)
+select nm.path, coalesce(failures, 0) as failures, coalesce(commits, 0) as commits, coalesce(failures, 0) > 0 or coalesce(commits, 0) >= {RISK_COMMITS} as flagged from nm left join fl on nm.path = fl.path left join cm on nm.path = cm.path"""
