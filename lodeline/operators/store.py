@@ -17,12 +17,13 @@ TIE = 1  # the last of rows with one key wins
 
 @dataclass(frozen=True)
 class DenyRule:
-    """Rows whose title, body or meta contain ``pattern`` (a literal or a regular expression) are kept out."""
+    """Rows whose title, body or meta contain ``pattern`` (a literal or a regular expression) are kept out, of one project or, if it names none, of all."""
 
     rule_id: int
     pattern: str
     regex: bool = False
     ignore_case: bool = True
+    project: str | None = None
 
     def __post_init__(self):
         if not self.pattern:
@@ -31,7 +32,7 @@ class DenyRule:
             raise ValueError("the pattern matches the empty text")
 
 
-def denied_by(rules: list[DenyRule], title: str = "title", body: str = "body", meta: str = "meta") -> Column:
+def denied_by(rules: list[DenyRule], title: str = "title", body: str = "body", meta: str = "meta", project: str = "project_id") -> Column:
     """The id of the first rule, in order, that matches a row; null if none. A rule list is small and becomes part of the expression."""
     text = F.concat_ws("\n", title, body, meta)
     out = F.lit(None).cast("bigint")
@@ -40,6 +41,8 @@ def denied_by(rules: list[DenyRule], title: str = "title", body: str = "body", m
             hit = text.rlike(("(?i)" if rule.ignore_case else "") + rule.pattern)
         else:
             hit = F.lower(text).contains(rule.pattern.lower()) if rule.ignore_case else text.contains(rule.pattern)
+        if rule.project is not None:
+            hit = hit & (F.col(project) == rule.project)
         out = F.when(hit, F.lit(rule.rule_id).cast("bigint")).otherwise(out)
     return out
 

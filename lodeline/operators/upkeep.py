@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import signals
-from lodeline.functions.text import project_id
+from lodeline.functions.text import approx_tokens, project_id
 from lodeline.operators.correlate import chain_stats, open_verdicts, stale
 from lodeline.operators.lexical import LIVE_SQL, live_nodes
 from lodeline.operators.store import RULES, DenyRule, denied_by, pruned
 from lodeline.operators.vectors import pending
+from lodeline.sources.shell import hook_to_shell
 from lodeline.tables import table
 
 
@@ -280,6 +281,22 @@ def bounded_check(candidates: DataFrame, nearest: DataFrame, verdicts: DataFrame
     return left.orderBy("ts_epoch", "candidate_id").limit(most).select("candidate_id", "against_id")
 
 
+def batch_summary(nodes: DataFrame, by: str = "kind") -> DataFrame:
+    """(by, rows, oldest, newest, mean_signal, tokens): what a batch of rows is, by kind or another column."""
+    tokens = F.sum(approx_tokens(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))))
+    return nodes.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.round(F.avg("signal_score"), 6).alias("mean_signal"), tokens.alias("tokens"))
+
+
+def path_counts(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(project_id, paths): distinct paths of the files (node_id, path) of each project's rows."""
+    return files.join(nodes.select("node_id", "project_id").distinct(), "node_id").groupBy("project_id").agg(F.countDistinct("path").alias("paths"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(json): each row as a line of JSON with every column, null ones too."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def relative_age(at_ms: Column, now_ms: int) -> Column:
     """How long ago in the largest whole unit, as 'just now', '5m ago', '3h ago', '2d ago'."""
     minutes = F.floor((F.lit(now_ms) - at_ms) / 60_000)
@@ -443,6 +460,23 @@ def q98_pruned_keeping_paths(spark, folder):
     return pruned(n, "git-diff", n.where("signal_score >= 0.45"), unread, files).select("node_id")
 
 
+def q98_batch_summary(spark, folder):
+    return batch_summary(live_nodes(spark, folder))
+
+
+def q98_node_paths(spark, folder):
+    """Paths that the first lines of patches' bodies name, by project."""
+    n = live_nodes(spark, folder)
+    return path_counts(n.where("kind = 'code_diff'").select("node_id", F.regexp_extract("body", r"^([^\n]*)", 1).alias("path")), n)
+
+
+def q98_hook_keys(spark, folder):
+    """Entries of the hook, made anew from what they say: all have the key they were stored with."""
+    s = table(spark, folder, "shell_entries").where("shell = 'pwsh-hook' and ts is not null and command is not null")
+    made = hook_to_shell(s.select("ts", "cwd", F.col("exit_code").alias("exitCode"), F.col("duration_ms").alias("durationMs"), "command"))
+    return made.join(s.select("natural_key").distinct(), "natural_key", "left_semi").groupBy("shell", "exit_code").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def q98_bands(spark, folder):
     """Rows by the band of their signal, each judged as its source is."""
     n = live_nodes(spark, folder)
@@ -502,6 +536,9 @@ def _sql() -> dict[str, str]:
         "q97_ages": f"""with {n}, m as (select node_id, kind, ({NOW_MS} - ts_epoch) // 60000 as m from n where ts_epoch between 946684800000 and 1767225600000)
  select node_id, kind, case when m < 1 then 'just now' when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as age from m""",
         "q98_pruned_keeping_paths": f"with {n}, f as (select *, regexp_extract(body, '^([^\\n]*)', 1) as path from n where source = 'git-diff') select node_id from f where signal_score < 0.45 and not ends_with(path, '.ts')",
+        "q98_batch_summary": f"with {n} select kind, count(*) as rows, min(ts) as oldest, max(ts) as newest, round(avg(signal_score), 6) as mean_signal, cast(sum(ceil(length(coalesce(title, '') || chr(10) || coalesce(body, '')) / 4)) as bigint) as tokens from n group by kind",
+        "q98_node_paths": f"with {n} select project_id, count(distinct regexp_extract(body, '^([^\\n]*)', 1)) as paths from n where kind = 'code_diff' group by project_id",
+        "q98_hook_keys": "select shell, exit_code, count(*) as entries from shell_entries where shell = 'pwsh-hook' and ts is not null and command is not null group by shell, exit_code",
         "q98_bands": f"with {n} select source, case when signal_score >= {high} then 'high' when signal_score >= {medium} then 'medium' else 'low' end as band, count(*) as rows from n group by all",
     }
 

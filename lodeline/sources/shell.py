@@ -69,6 +69,20 @@ def hook_lines(lines: DataFrame, cursor: int) -> DataFrame:
     return kept.withColumn("e", hook_entry(F.col("line"))).where("e is not null").select("line_no", "e.*")
 
 
+def hook_to_shell(entries: DataFrame, shell: str = "pwsh-hook") -> DataFrame:
+    """Hook entries (ts, cwd, exitCode, durationMs, command) as shell entries: the key is the time and a digest of the command, so a replay has the same keys."""
+    key = F.concat(F.col("ts"), F.lit(":"), F.substring(F.sha2("command", 256), 1, 12))
+    return entries.select(
+        key.alias("natural_key"), "command", "ts", F.lit(False).alias("ts_approx"), F.col("exitCode").alias("exit_code"), "cwd", F.col("durationMs").alias("duration_ms"), F.lit(shell).alias("shell")
+    )
+
+
+def chosen_sources(present: set[str]) -> list[str]:
+    """Which shell sources are read of those that are there: a hook tells what the scraped history of its shell would, and better."""
+    kept = [s for s in ("pwsh-hook", "pwsh", "bash", "zsh") if s in present]
+    return [s for s in kept if s != "pwsh" or "pwsh-hook" not in kept]
+
+
 def under_root(cwd: Column, root: Column) -> Column:
     """Whether a directory is the root or lies beneath it, whatever its slashes and letter case."""
     plain = lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, r"\\", "/")), r"/+\z", "")

@@ -100,3 +100,22 @@ def test_settings():
     for bad in ("[", "[]", '{"x": 1}', '{"limits": {"budget": 0}}', '{"limits": {"budget": true}}', '{"shell": {"enabled": 1}}', '{"limits": 3}'):
         with pytest.raises(ValueError):
             read_settings(bad)
+
+
+def test_rule_of_one_project(spark, nodes):
+    from lodeline.operators.store import denied_by
+
+    hit = nodes.where(denied_by([DenyRule(1, "secret", project="old")]).isNotNull())
+    assert ids(hit) == ["c"]
+
+
+def test_sources_chosen():
+    from lodeline.sources.shell import chosen_sources
+
+    assert chosen_sources({"pwsh", "pwsh-hook", "zsh"}) == ["pwsh-hook", "zsh"] and chosen_sources({"pwsh"}) == ["pwsh"] and chosen_sources(set()) == []
+
+
+def test_json_keeps_nulls(spark):
+    from lodeline.operators.upkeep import as_json
+
+    assert as_json(spark.createDataFrame([(1, None)], "a int, b string")).first().json == '{"a":1,"b":null}'
